@@ -1,6 +1,70 @@
-STAGES = []
+"""From raw documents to shards of a training mix.
+
+Each stage takes (spark, docs, sf_dir), works on all documents its predecessor kept, and, but for the last,
+returns the columns of documents. ``doc_id`` names a document: rows of one id are kept or go together.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wordloom.llm.common import written
+from wordloom.llm.decontaminate import contaminated
+from wordloom.llm.mixing import taken_words
+from wordloom.llm.quality import judged
+from wordloom.llm.sharding import sharded
+from wordloom.llm.simhash import near_duplicates
+
+SHARDS = 16
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id is not in the column ``id``. The ids are written, so that Spark knows their size when it picks the join."""
+    gone = written(ids.select(F.col("id").alias("__gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail no rule and whose host isn't rejected. A null id goes if any document without an id fails."""
+    return _without(docs, judged(docs).where("not kept"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the smallest id. Rows that repeat an id count as one; documents without an id stay."""
+    found = written(near_duplicates(docs), "components")
+    kept = _without(docs, found.where("id <> component"))
+    again = written(found.groupBy("id").count().where("count > 1 and id is not null").select(F.col("id").alias("__again")), "again")
+    repeated = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, kept["doc_id"] == again["__again"], "left_anti").unionByName(repeated)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item stands."""
+    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, by words and rounded; a source above its share gives up documents."""
+    taken = taken_words(docs).where("size > 0").select(F.col("id").alias("__id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__copies"))
+    taken = written(taken.groupBy("__id").agg(F.max("__copies").alias("__copies")).where("__copies > 0"), "copies")
+    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*(docs[c] for c in docs.columns))
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``size``, ``text_crc32``, ``shard``, ``slot``."""
+    return sharded(docs, SHARDS).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("quality rules", quality), ("SimHash near-dedup", near_copies), ("benchmark decontamination", decontaminate), ("mixing to target weights", mixture), ("sharding", shards)]
+
+#: SQL has no XXH64 and no edit distance within a span; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

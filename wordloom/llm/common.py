@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +81,26 @@ def map_rows(df: DataFrame, make: Callable[..., Iterator[tuple]], schema: str) -
                 yield pa.RecordBatch.from_arrays([pa.array(c, arrow.field(n).type) for c, n in zip(columns, names, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, fields)
+
+
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def window_codes(values: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit code for each ``width`` neighbouring values (uint64): equal windows have equal codes."""
+    if len(values) < width:
+        return np.zeros(0, np.uint64)
+
+    def joined(a: np.ndarray, wide: int, b: np.ndarray, step: int) -> np.ndarray:
+        """Windows made of one of ``a`` and the one of ``b`` right after it."""
+        n = len(b) - wide
+        return a[:n] * np.uint64(pow(_FACTOR, step, 1 << 64)) + b[wide:]
+
+    done, have, power, step, rest = None, 0, values, 1, width
+    while rest:
+        if rest & 1:
+            done, have = (power, step) if done is None else (joined(done, have, power, step), have + step)
+        rest >>= 1
+        if rest:
+            power, step = joined(power, step, power, step), step * 2
+    return done

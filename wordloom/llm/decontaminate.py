@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, window_codes
 
 Q = 10
 #: Edits allowed, as a share of the item's length.
@@ -24,7 +24,6 @@ ERROR_RATE = 0.08
 BLOCK_CHARS = 8 << 20
 #: Characters of a document looked at together; pieces overlap, so a text of any length needs no more memory.
 PIECE = 1 << 20
-_MULTIPLIER = 0x9E3779B97F4A7C15
 
 
 def normalized(text: str | None) -> str:
@@ -34,25 +33,7 @@ def normalized(text: str | None) -> str:
 
 def gram_codes(text: str, q: int = Q) -> np.ndarray:
     """A 64-bit code for each q-gram; equal grams have equal codes."""
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    n = len(chars) - q + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    done, width, power, step, rest = None, 0, chars, 1, q
-    while rest:
-        if rest & 1:
-            done, width = (power, step) if done is None else (_joined(done, width, power, step), width + step)
-        rest >>= 1
-        if rest:
-            power, step = _joined(power, step, power, step), step * 2
-    return done[:n]
-
-
-def _joined(a: np.ndarray, wide: int, b: np.ndarray, step: int) -> np.ndarray:
-    """Codes of grams made of one of ``a`` (``wide`` characters) and the one of ``b`` right after it."""
-    factor = np.uint64(pow(_MULTIPLIER, step, 1 << 64))
-    n = len(b) - wide
-    return a[:n] * factor + b[wide:]
+    return window_codes(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1), q)
 
 
 def edit_budget(length: int, q: int = Q, rate: float = ERROR_RATE) -> int:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("simhash", "quality", "mixing", "sharding", "urls", "decontaminate", "warc")
+_MODULES = ("lines", "warc", "sharding", "urls", "quality", "mixing", "decontaminate", "passages", "tokens", "simhash")
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _name in _MODULES:
