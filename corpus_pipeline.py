@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import written
-from wordloom.llm.decontaminate import contaminated
+from wordloom.llm.decontaminate import clean_documents
 from wordloom.llm.mixing import taken_words
 from wordloom.llm.quality import judged
 from wordloom.llm.sharding import sharded
@@ -20,8 +20,8 @@ SHARDS = 16
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is not in the column ``id``. The ids are written, so that Spark knows their size when it picks the join."""
-    gone = written(ids.select(F.col("id").alias("__gone")).distinct(), "gone")
+    """Documents whose id is not in the column ``id``; they may be a share of all, so the join is never by broadcast."""
+    gone = ids.select(F.col("id").alias("__gone")).distinct().hint("merge")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
 
 
@@ -41,14 +41,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item stands."""
-    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, by words and rounded; a source above its share gives up documents."""
     taken = taken_words(docs).where("size > 0").select(F.col("id").alias("__id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__copies"))
     taken = written(taken.groupBy("__id").agg(F.max("__copies").alias("__copies")).where("__copies > 0"), "copies")
-    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
+    both = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["__id"]))
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*(docs[c] for c in docs.columns))
 
 

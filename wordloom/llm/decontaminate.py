@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, window_codes
+from .common import map_rows, slices, window_codes
 
 Q = 10
 #: Edits allowed, as a share of the item's length.
@@ -184,6 +185,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return spark.createDataFrame([], schema) if found is None else found
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", q: int = Q, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, with all their columns, in which :func:`contaminated` finds no item. Nothing is shuffled."""
+    spark = docs.sparkSession
+    at = docs.columns.index(text_col)
+    for items in _blocks(benchmark.select(F.col(item_id_col).cast("long"), item_text_col), block_chars):
+        index = spark.sparkContext.broadcast(Index(items, q, rate))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for piece in slices(batches):
+                clean = [next(matches(index.value, normalized(t)), None) is None for t in piece.column(at).to_pylist()]
+                yield piece.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The items, normalised, in lists of at most so many characters (or of one item)."""
     block, size = [], 0

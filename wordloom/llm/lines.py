@@ -60,42 +60,58 @@ def without_lines(text: str | None, gone: list | None) -> tuple[str | None, int]
     return "\n".join(x for k, x in enumerate(lines) if k not in drop), len(drop)
 
 
-def removed_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``body`` (hash of the text), ``first_line``, ``n_lines`` of every chunk to remove: one with the bytes of a chunk of a smaller id, or of an earlier one in its own text."""
-
-    def cut(with_text: bool):
-        def make(ids: list, bodies: list, texts: list) -> Iterator[tuple]:
-            for i, body, text in zip(ids, bodies, texts, strict=True):
-                seen = set()
-                for first, n, chunk in chunks(text):
-                    h = xxh64_intdigest(chunk) - (1 << 63)
-                    yield (i, body, first, n, h, h not in seen, chunk) if with_text else (h,)
-                    seen.add(h)
-
-        return make
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("body"), text_col)
-    repeated = map_rows(rows, cut(False), "hash long").groupBy("hash").count().where("count > 1").select("hash")
-    repeated = written(repeated, "repeated")  # a written table has a known size, by which Spark picks the join
-    found = map_rows(rows, cut(True), "id long, body long, first_line int, n_lines int, hash long, first_here boolean, chunk string")
-    found = written(found.join(repeated, "hash"), "chunks")
-    same = found.groupBy("hash", "chunk").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    later = F.coalesce(F.col("id") > F.col("lead"), F.col("lead").isNotNull()) | ~F.col("first_here")
-    return found.join(same, ["hash", "chunk"]).where(later).select("id", "body", "first_line", "n_lines")
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, the text without repeated chunks, and ``removed_lines``.
 
     The occurrence with the smallest id stays (null ids count as larger than all; where only rows with null ids hold a chunk, each keeps its first). Repeated rows of that id all keep it. Null and
     empty texts, texts of one line and lines without a word stay as they are. An empty table gives no
     rows. Columns of docs named like helper columns are kept, as helpers have names of their own.
+
+    The texts are shuffled once, to meet the hashes they share with others; only texts that share
+    some go on to have their chunks compared.
     """
-    gone = removed_chunks(docs, id_col, text_col).groupBy("id", "body").agg(F.collect_set(F.struct("first_line", "n_lines")).alias("gone"))
-    gone = written(gone, "removed").select(F.col("id").alias("__id"), F.col("body").alias("__body"), F.col("gone").alias("__gone"))
-    both = docs.withColumn("__own", F.xxhash64(text_col)).join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left").drop("__own", "__id", "__body")
+    key = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("body")).alias("__key")
+
+    def codes(ids: list, bodies: list, texts: list) -> Iterator[tuple]:
+        for i, body, text in zip(ids, bodies, texts, strict=True):
+            for _, _, chunk in chunks(text):
+                yield i, body, _code(chunk)
+
+    slim = docs.select(key, text_col).select("__key.*", text_col)
+    slim = written(map_rows(slim, codes, "id long, body long, hash long"), "codes")
+    repeated = slim.groupBy("hash").count().where("count > 1").select("hash")
+    shared = slim.join(repeated, "hash").groupBy(F.struct("id", "body").alias("__of")).agg(F.collect_set("hash").alias("__shared"))
+    keyed = docs.select("*", key)
+    # Texts are many times larger than what they meet, at any scale that matters: always a merge join.
+    both = keyed.join(shared.hint("merge"), F.col("__key").eqNullSafe(F.col("__of")), "left").drop("__of")
+    both = written(both, "sharing")
+    alone, sharing = both.where("__shared is null").drop("__shared", "__key"), both.where("__shared is not null")
+
+    def cut(ids: list, bodies: list, hashes: list, texts: list) -> Iterator[tuple]:
+        for i, body, wanted, text in zip(ids, bodies, hashes, texts, strict=True):
+            wanted, seen = set(wanted), set()
+            for first, n, chunk in chunks(text):
+                if _code(chunk) in wanted:
+                    yield i, body, first, n, chunk not in seen, chunk
+                    seen.add(chunk)
+
+    found = map_rows(sharing.select("__key.*", "__shared", text_col), cut, "id long, body long, first_line int, n_lines int, first_here boolean, chunk string")
+    found = written(found, "chunks")
+    same = found.groupBy("chunk").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = F.coalesce(F.col("id") > F.col("lead"), F.col("lead").isNotNull()) | ~F.col("first_here")
+    gone = found.join(same.hint("merge"), "chunk").where(later)
+    gone = gone.groupBy(F.struct("id", "body").alias("__of")).agg(F.collect_set(F.struct("first_line", "n_lines")).alias("__gone"))
+    sharing = sharing.drop("__shared").join(gone.hint("merge"), F.col("__key").eqNullSafe(F.col("__of")), "left").drop("__of", "__key")
+    return alone.withColumn("removed_lines", F.lit(0)).unionByName(_cleaned(sharing, docs.columns.index(text_col)))
+
+
+def _code(chunk: str) -> int:
+    return xxh64_intdigest(chunk) - (1 << 63)
+
+
+def _cleaned(both: DataFrame, at: int) -> DataFrame:
+    """Column ``at`` without the stretches of lines in the last column, which gives way to their number."""
     schema = StructType([*both.schema.fields[:-1], StructField("removed_lines", IntegerType())])
-    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
