@@ -65,11 +65,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     The occurrence with the smallest id stays (null ids count as larger than all; where only rows with null ids hold a chunk, each keeps its first). Repeated rows of that id all keep it. Null and
     empty texts, texts of one line and lines without a word stay as they are. An empty table gives no
-    rows. Columns of docs named like helper columns are kept, as helpers have names of their own.
+    rows. A column ``removed_lines`` of docs gives way to the new one; names beginning with two underscores are the operator's own.
 
     The texts are shuffled once, to meet the hashes they share with others; only texts that share
     some go on to have their chunks compared.
     """
+    docs = docs.drop("removed_lines")
     key = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("body")).alias("__key")
 
     def codes(ids: list, bodies: list, texts: list) -> Iterator[tuple]:

@@ -67,7 +67,7 @@ def look_up(trie: dict, host: str, path: str) -> tuple[str, str] | None:
         found, here, at = None, node.get(PATH), 0
         while here is not None:
             rest = parts[at]
-            fits = [r for r in here.get(RULES, ()) if "/".join(parts[at:]).startswith(r)] if len(here.get(RULES, ())) < 8 else [rest[:k] for k in range(len(rest) + 1) if rest[:k] in here[RULES]]
+            fits = [r for r in here.get(RULES, ()) if rest.startswith(r)]
             if fits:
                 found = here[RULES][max(fits, key=len)]
             if at + 1 >= len(parts):
@@ -116,7 +116,7 @@ def _judged_by_join(pages: DataFrame, rules: DataFrame, id_col: str, url_col: st
     urls = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"))
     distinct = urls.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.substring_index(F.col("host"), ".", -k))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
     beginnings = F.transform(F.sequence(F.lit(0), F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
     keys = distinct.select("host", "path", F.explode(suffixes).alias("h")).select("host", "path", "h", F.explode(beginnings).alias("p"))
     one = rules.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.max("verdict").alias("v"))  # block > allow
