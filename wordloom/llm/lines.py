@@ -81,6 +81,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     slim = docs.select(key, text_col).select("__key.*", text_col)
     slim = written(map_rows(slim, codes, "id long, body long, hash long"), "codes")
     repeated = slim.groupBy("hash").count().where("count > 1").select("hash")
+    repeated = written(repeated, "repeated")  # apart from its aggregate, Spark may split the join where a hash is very common
     shared = slim.join(repeated, "hash").groupBy(F.struct("id", "body").alias("__of")).agg(F.collect_set("hash").alias("__shared"))
     keyed = docs.select("*", key)
     # Texts are many times larger than what they meet, at any scale that matters: always a merge join.
@@ -99,6 +100,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = map_rows(sharing.select("__key.*", "__shared", text_col), cut, "id long, body long, first_line int, n_lines int, first_here boolean, chunk string")
     found = written(found, "chunks")
     same = found.groupBy("chunk").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same = written(same, "repeated-chunks")
     later = F.coalesce(F.col("id") > F.col("lead"), F.col("lead").isNotNull()) | ~F.col("first_here")
     gone = found.join(same.hint("merge"), "chunk").where(later)
     gone = gone.groupBy(F.struct("id", "body").alias("__of")).agg(F.collect_set(F.struct("first_line", "n_lines")).alias("__gone"))
