@@ -91,6 +91,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     table = written(suffix_table(docs, id_col, text_col, key_words, window), "suffixes")
     first = table.where("earlier is null").select("key", "id", "pos")
     leads = first.groupBy("key").agg(F.min("id").alias("lead"), F.min_by("pos", F.struct("id", "pos")).alias("at"), F.max("id").alias("most")).where("lead < most").select("key", "lead", "at")
+    leads = written(leads, "keys")
     across = first.join(leads, "key").where("id > lead").select("id", "pos", "lead", "at")
     inside = table.where("earlier is not null").select("id", "pos", F.col("id").alias("lead"), F.col("earlier").alias("at"))
     shift = (F.col("pos") - F.col("at")).alias("shift")
@@ -114,6 +115,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     pieces = written(map_rows(rows.join(needs, "id").select("text", "id", "own", "other"), cut, "id long, lead long, shift int, low int, lead_low int, lead_high int, words string"), "stretches")
     lead = pieces.where("id is null").select("lead", "lead_low", "lead_high", F.col("words").alias("lead_words")).dropDuplicates(["lead", "lead_low", "lead_high"])
+    lead = written(lead, "leads")  # apart from its aggregate, Spark may split the join where one text leads very many
     both = pieces.where("id is not null").join(lead, ["lead", "lead_low", "lead_high"])
 
     def extend(ids: list, leads: list, shifts: list, lows: list, lead_lows: list, owns: list, others: list) -> Iterator[tuple]:
