@@ -204,6 +204,7 @@ def links(prints: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
         raise ValueError("radius must be from 1 to 14")
     keyed = prints.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("key"))
     sizes = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
+    sizes = written(sizes, "buckets")  # apart from its aggregate, Spark may split the join where a bucket is very large
     one = keyed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     jobs = one.select("key", "fp", "own", other.alias("other")).select(
@@ -248,9 +249,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(least, "least")  # as above, for a node with very many links
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where("u <> v").distinct(), "links")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         pairs = written(small, "links")
