@@ -67,9 +67,10 @@ def look_up(trie: dict, host: str, path: str) -> tuple[str, str] | None:
         found, here, at = None, node.get(PATH), 0
         while here is not None:
             rest = parts[at]
-            fits = [r for r in here.get(RULES, ()) if rest.startswith(r)]
-            if fits:
-                found = here[RULES][max(fits, key=len)]
+            own = here.get(RULES, {})
+            longest = next((rest[:k] for k in range(len(rest), -1, -1) if rest[:k] in own), None)
+            if longest is not None:
+                found = own[longest]
             if at + 1 >= len(parts):
                 break
             here, at = here.get("s" + rest), at + 1
