@@ -39,6 +39,8 @@ class Corpus:
     rows: DataFrame
     segments: DataFrame | None = None
     info: DataFrame | None = None
+    #: Dimensions of rows and cols, if they are stored or not those of the postings at hand.
+    dims: tuple[DataFrame, DataFrame] | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -61,17 +63,22 @@ class Corpus:
         return Corpus(postings, rows, docs.select(F.col(id_col).alias("row"), F.lit(0).alias("segid"), F.col(text_col).alias("text")))
 
     def stored(self) -> Corpus:
-        """The same corpus with its postings written to the shared folder: what made them isn't done again."""
-        return replace(self, postings=written(self.postings, "postings"))
+        """The same corpus with its postings and dimensions written to the shared folder: what made them isn't done again."""
+        own = replace(self, postings=written(self.postings, "postings"))
+        return replace(own, dims=(written(own.row_dims, "rows"), written(own.col_dims, "cols")))
 
     @cached_property
     def row_dims(self) -> DataFrame:
         """``id``, ``df`` (elements), ``tf_sum`` of every row, with 0 for rows without elements."""
+        if self.dims:
+            return self.dims[0]
         sums = self.postings.groupBy("row").agg(F.count("*").alias("df"), F.sum("tf").alias("tf_sum"))
         return self.rows.select(F.col("row").alias("id")).join(sums.withColumnRenamed("row", "id"), "id", "left").na.fill(0, ["df", "tf_sum"])
 
     @cached_property
     def col_dims(self) -> DataFrame:
+        if self.dims:
+            return self.dims[1]
         return self.postings.groupBy(F.col("col").alias("id")).agg(F.count("*").alias("df"), F.sum("tf").alias("tf_sum"))
 
     @cached_property
@@ -90,26 +97,26 @@ class Corpus:
         raise ValueError("result is rows or cols")
 
     def masked(self, include: DataFrame | None = None, exclude: DataFrame | None = None) -> Corpus:
-        """Confine the rows' vectors to some (or without some) ``row`` ids; names and properties stay."""
+        """Confine the vectors to some (or without some) ``row`` ids. Scores go on using the frequencies of the whole corpus."""
         postings = self.postings
         if include is not None:
             postings = postings.join(include.select("row").distinct(), "row", "left_semi")
         if exclude is not None:
             postings = postings.join(exclude.select("row").distinct(), "row", "left_anti")
-        return replace(self, postings=postings)
+        return replace(self, postings=postings, dims=(self.row_dims, self.col_dims))
 
     def deleted(self, names: DataFrame) -> Corpus:
         """Without the rows of these ``name``s; unknown names do nothing."""
         gone = self.rows.join(names.select("name").distinct(), "name", "left_semi").select("row")
         without = lambda df: df.join(gone, "row", "left_anti") if df is not None else None
-        return replace(self, postings=without(self.postings), rows=without(self.rows), segments=without(self.segments))
+        return replace(self, postings=without(self.postings), rows=without(self.rows), segments=without(self.segments), dims=None)
 
     def appended(self, other: Corpus) -> Corpus:
         """With the rows of another corpus whose names are new; the first holder of a name wins. Row ids must not clash."""
         new = other.rows.join(self.rows.select("name"), "name", "left_anti")
         keep = lambda df: df.join(new.select("row"), "row", "left_semi") if df is not None else None
         segments = keep(other.segments) if self.segments is None else self.segments if other.segments is None else self.segments.unionByName(keep(other.segments))
-        return replace(self, postings=self.postings.unionByName(keep(other.postings)), rows=self.rows.unionByName(new.select(*self.rows.columns)), segments=segments)
+        return replace(self, postings=self.postings.unionByName(keep(other.postings)), rows=self.rows.unionByName(new.select(*self.rows.columns)), segments=segments, dims=None)
 
     def vector(self, of: str, ids: DataFrame) -> DataFrame:
         """Elements of the rows (or cols) with an ``id`` in the table."""
@@ -119,7 +126,8 @@ class Corpus:
         """Write as Parquet, postings ordered by col, so that the files' statistics lead a search to its words."""
         self.postings.repartitionByRange("col").sortWithinPartitions("col", "row").write.mode("overwrite").parquet(f"{path}/postings")
         self.rows.write.mode("overwrite").parquet(f"{path}/rows")
-        for name, table in (("segments", self.segments), ("info", self.info)):
+        stored = replace(self, postings=self.spark.read.schema(self.postings.schema).parquet(f"{path}/postings"))
+        for name, table in (("segments", self.segments), ("info", self.info), ("row_dims", stored.row_dims), ("col_dims", stored.col_dims)):
             if table is not None:
                 table.write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -130,7 +138,7 @@ class Corpus:
             there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
             return spark.read.parquet(f"{path}/{name}") if there else None
 
-        return Corpus(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/rows"), optional("segments"), optional("info"))
+        return Corpus(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/rows"), optional("segments"), optional("info"), (spark.read.parquet(f"{path}/row_dims"), spark.read.parquet(f"{path}/col_dims")))
 
 
 def _hadoop(spark: SparkSession, path: str):

@@ -19,6 +19,7 @@ from ..functions.presence import Presence
 from ..functions.similarity import Similarity, built_in
 from ..functions.text import words
 from ..model import Corpus
+from ..tables import written
 
 #: Defaults of a request: words of a summary, items summarised for topics, and the three similarities.
 SUMMARY_WORDS, TOPIC_ITEMS = 70, 10
@@ -220,10 +221,12 @@ class Request:
     def run(self, corpus: Corpus, inputs: DataFrame | None = None, vectors: DataFrame | None = None, filters: Filters = Filters(), summary_given: DataFrame | None = None) -> dict[str, DataFrame]:
         """``summary``, ``rows`` and ``cols``, as far as asked for."""
         first = summary_given if self.stage == 2 else summary(corpus, inputs, vectors, self.summary_words, self.similarities[0], self.cutoff)
+        first = written(first, "summary")  # a few rows a query, which the next stage reads several times
         if self.stage == 1:
             return {"summary": first}
         reach = max(self.offset + self.n_rows, self.topic_items)
         second = similar(corpus, first, reach, 0, self.similarities[1], filters)
+        second = written(second, "found")
         shown = second.where((F.col("rank") > self.offset) & (F.col("rank") <= self.offset + self.n_rows))
         out = {"summary": first, "rows": shown}
         if self.n_cols:
@@ -245,10 +248,10 @@ class Request:
 
 def two_hop(directory: Corpus, inputs: DataFrame, corpus: Corpus, k: int, hits: int = 200) -> DataFrame:
     """Search a directory, and take the names of what it finds, as often as they occur, as the vector of a search in a second corpus."""
-    found = summary(directory, inputs).transform(lambda w: similar(directory, w, hits))
+    found = similar(directory, written(summary(directory, inputs), "summary"), hits)
     named = found.join(directory.rows.select(F.col("row").alias("id"), "name"), "id")
     vector = named.groupBy("query", F.col("name").alias("id")).agg(F.count("*").alias("tf_q"))
-    return associate(corpus, "rows", "WT_DOT_PRODUCT", k, entities(vector))
+    return associate(corpus, "rows", "WT_DOT_PRODUCT", k, entities(written(vector, "vector")))
 
 
 def query_weights(corpus: Corpus, result: str, inputs: DataFrame, found: DataFrame) -> DataFrame:

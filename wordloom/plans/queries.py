@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions.presence import EVERY, NONE, has
 from ..functions.similarity import EXPRESSIONS, expression
-from ..functions.text import compare, fold
-from ..model import Corpus
+from ..functions.text import compare, fold, words
+from ..model import Corpus, Library
 from ..operators import associate as A
 from ..operators import cluster, matrix
 from ..operators.fulltext import Join, Pattern, Search, difference, downsampled, intersection, union
 from ..sources import formats
+from ..tables import shared_path, written
 from . import sql
 from .sql import SHOWN, scored, terms, with_
 
@@ -45,7 +46,7 @@ def corpus(spark: SparkSession, d: str, name: str, where: str = "true") -> Corpu
         return Corpus.from_text(table(spark, d, name).where(where), "doc_id", "text", ("lang", "source")).stored()
     if name == "conversations":
         found = Corpus.from_text(table(spark, d, name), "conv_id", "text")
-        return Corpus(found.postings, found.rows.distinct()).stored()
+        return Corpus(found.postings, found.rows.dropDuplicates(["row"])).stored()
     if name == "events":
         counts = table(spark, d, name).groupBy(F.col("user_id").alias("row"), F.col("event_type").alias("col"))
     elif name == "orders":
@@ -148,13 +149,11 @@ def _(spark, d):
 
 @query("masked_vectors", with_(sql.matrix("documents", where="r IN (SELECT doc_id FROM labels WHERE quality = 1)")) + " SELECT c AS id, count(*) AS df, sum(tf)::BIGINT AS tf_sum FROM p GROUP BY 1")
 def _(spark, d):
-    return corpus(spark, d, "documents").masked(include=table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("row"))).col_dims
+    return corpus(spark, d, "documents").masked(include=table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("row"))).postings.groupBy(F.col("col").alias("id")).agg(F.count("*").alias("df"), F.sum("tf").alias("tf_sum"))
 
 
 @query("truncated_vectors", f"SELECT doc_id AS row, c AS col, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '{sql.BREAK}'), lambda w: w <> '')[1:20]) AS c FROM documents) GROUP BY 1, 2")
 def _(spark, d):
-    from ..functions.text import words
-
     docs = table(spark, d, "documents")
     return docs.select(F.col("doc_id").alias("row"), F.explode(F.slice(words(F.col("text")), 1, 20)).alias("col")).groupBy("row", "col").agg(F.count("*").alias("tf"))
 
@@ -351,8 +350,9 @@ FROM d JOIN p ON p.r = d.id JOIN w ON w.id = p.c JOIN cd ON cd.id = p.c JOIN rd
 def _(spark, d):
     c = corpus(spark, d, "documents")
     docs = A.associate(c, "rows", "WT_SMARTWA", 10, listed(spark, WORDS, TF_Q, WEIGHT))
-    words = A.topics(c, docs, 15)
-    return matrix.cross_reference(c, matrix.row_vectors(c, docs), matrix.unit_vectors(words)).withColumn("sim", F.round("sim", 6))
+    docs = written(docs, "documents")
+    topics = A.topics(c, docs, 15)
+    return matrix.cross_reference(c, matrix.row_vectors(c, docs), matrix.unit_vectors(topics)).withColumn("sim", F.round("sim", 6))
 
 
 @query(
@@ -398,9 +398,6 @@ def _(spark, d):
 
 @query("catalogue", "SELECT lang AS corpus, 'number-of-documents' AS key, count(*)::VARCHAR AS value FROM documents GROUP BY 1")
 def _(spark, d):
-    from ..model import Library
-    from ..tables import shared_path
-
     library = Library(spark, shared_path(spark, "library"))
     docs = table(spark, d, "documents")
     for lang in [r.lang for r in docs.select("lang").distinct().orderBy("lang").limit(100).collect()]:  # a catalogue entry each
