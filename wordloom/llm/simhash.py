@@ -108,7 +108,7 @@ def _set_bits(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(bits)
 
 
-def _links_by_offset(fp: np.ndarray, group: np.ndarray, tile: np.ndarray, radius: int) -> tuple[list, list]:
+def _links_by_offset(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[list, list]:
     """Pairs in small groups: rows i and i + d of one group, for each d."""
     left, right = [], []
     for d in range(1, SMALL):
@@ -169,7 +169,7 @@ def stars(fp: np.ndarray, group: np.ndarray, tile: np.ndarray, radius: int) -> t
     small = np.repeat(sizes <= SMALL, sizes)
     rows = np.flatnonzero(small)
     if len(rows):
-        left, right = _links_by_offset(fp[rows], group[rows], tile[rows], radius)
+        left, right = _links_by_offset(fp[rows], group[rows], radius)
         if left:
             forest.link(rows[np.concatenate(left)], rows[np.concatenate(right)])
     for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
