@@ -20,7 +20,7 @@ def lattice(spark, tmp_path_factory):
     for n in range(16):
         name = f"{n:04b}"
         lines += [f"i{name}", f"#title=T{name}", f"#link=L{name}", f"!{name}", *[f" {w}" for w, bit in zip("DCBA", name, strict=True) if bit == "1"]]
-    path = tmp_path_factory.mktemp("lattice") / "lattice.itb"
+    path = tmp_path_factory.mktemp("lattice") / "lattice.txt"
     path.write_text("\n".join(lines))
     from wordloom.sources.formats import record_lines
 

@@ -16,7 +16,7 @@ from ..functions.text import compare, fold, words
 from ..model import Corpus, Library
 from ..operators import associate as A
 from ..operators import cluster, matrix
-from ..operators.fulltext import Join, Pattern, Search, difference, downsampled, intersection, union
+from ..operators.fulltext import Join, Pattern, Search, difference, intersection, union
 from ..sources import formats
 from ..tables import shared_path, written
 from . import sql
