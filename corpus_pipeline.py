@@ -35,6 +35,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(near_duplicates(docs), "components")
     kept = _without(docs, found.where("id <> component"))
     again = written(found.groupBy("id").count().where("count > 1 and id is not null").select(F.col("id").alias("__again")), "again")
+    if again.isEmpty():
+        return kept
     repeated = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id"])
     return kept.join(again, kept["doc_id"] == again["__again"], "left_anti").unionByName(repeated)
 
