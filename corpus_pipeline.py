@@ -14,7 +14,7 @@ from wordloom.llm.decontaminate import clean_documents
 from wordloom.llm.mixing import taken_words
 from wordloom.llm.quality import judged
 from wordloom.llm.sharding import sharded
-from wordloom.llm.simhash import near_duplicates
+from wordloom.llm.simhash import similar_documents
 
 SHARDS = 16
 
@@ -31,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest id. Rows that repeat an id count as one; documents without an id stay."""
-    found = written(near_duplicates(docs), "components")
+    """One document of each group of similarity 0.8 (five words): the smallest id. Rows that repeat an id count as one; documents without an id stay."""
+    found = written(similar_documents(docs), "components")
     kept = _without(docs, found.where("id <> component"))
     again = written(found.groupBy("id").count().where("count > 1 and id is not null").select(F.col("id").alias("__again")), "again")
     if again.isEmpty():

@@ -262,6 +262,73 @@ def test_links_of_crowded_buckets(spark, tile, spread, radius):
     assert groups(lambda f: roots.get(signed[f], signed[f])) == groups(lambda f: want[f])
 
 
+def shingles(text, width=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rng, text, share):
+    return " ".join(w if rng.random() > share else f"new{rng.randrange(10**6)}" for w in text.split())
+
+
+def test_similar_documents_against_shingles(spark, docs, rows, empty):
+    found = {}
+    for r in simhash.similar_documents(docs).collect():
+        found.setdefault(r.id, set()).add(r.component)
+    assert set(found) == {i for i, _, _ in rows if i is not None}
+    by_text = {}
+    for i, t, _ in rows:
+        if i is not None:
+            by_text.setdefault(" ".join((t or "").lower().split(" ")), set()).add(i)
+    assert all(len({min(found[i]) for i in ids if len(found[i]) == 1}) <= 1 for ids in by_text.values())
+    assert simhash.similar_documents(empty).count() == 0
+
+    rng = random.Random(3)
+    texts, origin = [], []
+    for k in range(60):
+        text = " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randint(100, 400)))
+        for share in (0, 0.005, 0.01, 0.015, 0.02):
+            texts.append(edited(rng, text, share))
+            origin.append(k)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for tile in (simhash.WIDE_TILE, 2):  # the second deals every bucket over tiles
+        component = {r.id: r.component for r in simhash.similar_documents(table, tile=tile).collect()}
+        assert all(origin[component[i]] == origin[i] and component[i] <= i for i in range(len(texts)))
+        sets = [shingles(t) for t in texts]
+        near = [(i, j) for i in range(len(texts)) for j in range(i) if origin[i] == origin[j] and jaccard(sets[i], sets[j]) >= 0.8]
+        assert len(near) > 200 and sum(component[i] == component[j] for i, j in near) >= 0.97 * len(near)
+
+
+def test_core_of_a_crowded_group_keeps_every_link():
+    rng = random.Random(5)
+    values = []
+    for center in [rng.getrandbits(256) for _ in range(6)]:
+        for _ in range(50):
+            f = center
+            for _ in range(rng.randint(0, 30)):
+                f ^= 1 << rng.randrange(256)
+            values.append(f)
+    rng.shuffle(values)
+    fp = np.array([[f >> 64 * k & (1 << 64) - 1 for k in range(4)] for f in values], np.uint64)
+    for tile in (np.zeros(300, int), np.r_[np.zeros(140, int), np.ones(160, int)]):
+        root = list(range(300))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in zip(*simhash.stars(fp, np.zeros(300, int), tile, 34), strict=True):
+            root[find(int(a))] = find(int(b))
+        close = [(i, j) for i in range(300) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 34]
+        assert all(find(i) == find(j) for i, j in close if not tile.any() or tile[i] != tile[j])
+        assert len({find(i) for i in range(300)}) >= 6
+
+
 def test_bit_sliced_counts():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
@@ -302,8 +369,11 @@ def test_stages_against_brute_force(spark, docs, tmp_path):
     assert kept.columns == columns and as_rows(kept) == Counter({k: n for k, n in as_rows(at).items() if k[0] not in bad})
 
     once = run(names[1], kept)
-    component = brute_components([(i, brute_print(t)) for i, t in as_rows(kept)])
-    assert as_rows(once) == Counter({k: 1 for k in as_rows(kept) if k[0] == component[brute_print(k[1])] or k[0] is None})
+    rest = [k for k in as_rows(kept) if k not in as_rows(once)]
+    stay = [(k, shingles(k[1])) for k in as_rows(once) if k[0] is not None]
+    assert set(as_rows(once)) <= set(as_rows(kept)) and set(as_rows(once).values()) == {1}
+    assert rest and all(any(i < k[0] and jaccard(s, shingles(k[1])) > 0.6 for (i, _), s in stay) for k in rest)
+    assert all(jaccard(a, b) < 0.85 for (k, a) in stay for (j, b) in stay if k < j)
 
     clean = run(names[2], once)
     assert as_rows(clean) == Counter({k: n for k, n in as_rows(once).items() if decontaminate.normalized(item) not in decontaminate.normalized(k[1])})
