@@ -303,6 +303,46 @@ def test_similar_documents_against_shingles(spark, docs, rows, empty):
         assert len(near) > 200 and sum(component[i] == component[j] for i, j in near) >= 0.97 * len(near)
 
 
+@pytest.mark.parametrize("low", [0.6, 0.65, 0.7, 0.75, 0.8, 0.85])
+def test_links_in_a_band_of_similarity(spark, low):
+    rng, texts, near = random.Random(int(100 * low)), [], []
+    while len(near) < 150:
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 300)))
+        other = edited(rng, text, rng.uniform(0.01, 0.1))
+        if low <= jaccard(shingles(text), shingles(other)) < low + 0.05:
+            near.append((len(texts), len(texts) + 1))
+            texts += [text, other]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    component = {r.id: r.component for r in simhash.similar_documents(table).collect()}
+    linked = sum(component[i] == component[j] for i, j in near)
+    assert linked >= 149 if low >= 0.8 else linked == 0
+
+
+def test_alike_sets_against_brute_force():
+    rng = random.Random(9)
+    sets = [set(), set()]
+    for _ in range(12):
+        base = rng.sample(range(10**6), rng.randint(1, 60))
+        sets += [set(x for x in base if rng.random() > share) | set(rng.sample(range(50), 2)) for share in (0, 0.05, 0.1, 0.2, 0.3)]
+    rng.shuffle(sets)
+    root = list(range(len(sets)))
+
+    def find(k, of):
+        while of[k] != k:
+            k = of[k]
+        return k
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if jaccard(a, b) >= 0.8:
+                root[find(i, root)] = find(j, root)
+    found = list(range(len(sets)))
+    for a, b in zip(*simhash.alike([np.array(sorted(x), np.uint64) for x in sets], 0.8), strict=True):
+        found[find(a, found)] = find(b, found)
+    groups = lambda of: {frozenset(k for k in range(len(of)) if find(k, of) == find(r, of)) for r in of}
+    assert groups(root) == groups(found) and len(groups(root)) < len(sets)
+
+
 def test_core_of_a_crowded_group_keeps_every_link():
     rng = random.Random(5)
     values = []

@@ -10,13 +10,15 @@ group it links, never its pairs. Components follow from alternating large and sm
 
 A radius that stands for a similarity of 0.8 is too wide for the pigeonhole principle, so :func:`similar_documents`
 takes fingerprints of 256 bits, whose distance tells the similarity more closely, and finds candidates by
-many keys, each made of a few bits from all over the fingerprint. The comparison is the same.
+many keys, each made of a few bits from all over the fingerprint. The comparison is the same, with a radius that
+lets nearly all similar texts through. Then the texts of each group of candidates meet, and only
+those whose shingles are similar enough are linked.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -36,9 +38,11 @@ SMALL = 32
 #: Rows of a large group that are compared with all the others first.
 PIVOTS = 4
 #: Wide fingerprints: words of 64 bits, keys of each, bits of a key, fingerprints of a tile.
-WORDS, KEYS, KEY_BITS, WIDE_TILE = 4, 60, 18, 4096
+WORDS, KEYS, KEY_BITS, WIDE_TILE = 4, 80, 12, 4096
 #: Standard deviations of the distance that the radius for a similarity allows above its mean.
-SLACK = 1.5
+SLACK = 4.5
+#: Texts, and their bytes, of a tile of a group of candidates.
+TEXT_TILE, TEXT_BYTES = 512, 1 << 23
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -48,14 +52,28 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 def wide_fingerprint(text: str | None, width: int, seed: int, n: int) -> np.ndarray:
     """``n`` words of 64 bits; the first is :func:`fingerprint`, further ones vote with scrambled hashes."""
+    return _vote(_hashes(text, width, seed), n)
+
+
+def _hashes(text: str | None, width: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of the text's shingles, in order, a part at a time; none without words."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(n, np.uint64)
-    total, counts = max(1, len(words) - width + 1), np.zeros(64 * n, np.int64)
-    for at in range(0, total, CHUNK):
+    for at in range(0, max(1, len(words) - width + 1) if words else 0, CHUNK):
         part = words[at : at + CHUNK + width - 1]
         shingles = map(b" ".join, zip(*(part[k:] for k in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-        hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64)
+        yield np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64)
+
+
+def shingle_codes(text: str | None, width: int, seed: int) -> np.ndarray:
+    """Hashes of the text's different shingles, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, width, seed)]))
+
+
+def _vote(parts: Iterable[np.ndarray], n: int) -> np.ndarray:
+    """``n`` words of 64 bits, each bit set if it is in most of the hashes; without hashes 0."""
+    total, counts = 0, np.zeros(64 * n, np.int64)
+    for hashes in parts:
+        total += len(hashes)
         hashes = np.stack([hashes, *(_scrambled(hashes, k) for k in range(1, n))], axis=1)
         bits = np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little")
         for start in range(0, len(bits), 255):  # as many as a byte can count
@@ -254,17 +272,21 @@ def links(prints: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     return _compared(keyed.join(sizes, "key"), ["fp"], radius)
 
 
-def _compared(keyed: DataFrame, columns: list[str], radius: int) -> DataFrame:
-    """``a``, ``b``: links between the rows of each ``key``, dealt over its ``tiles``.
-
-    Rows are named by the first of the columns; their fingerprint is in the last ones, in all but the first if there are several.
-    """
+def _dealt(keyed: DataFrame, columns: list[str]) -> DataFrame:
+    """``key``, ``p``, ``q``, ``tile``, columns: the rows of each ``key`` once for each pair of its ``tiles`` they belong to, sorted by pair."""
     one = keyed.withColumn("own", F.pmod(F.xxhash64(columns[0]), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     jobs = one.select("key", *columns, "own", other.alias("other")).select(
         "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("tile"), *columns
     )
-    jobs = jobs.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "tile")
+    return jobs.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "tile")
+
+
+def _compared(keyed: DataFrame, columns: list[str], radius: int) -> DataFrame:
+    """``a``, ``b``: links between the rows of each ``key``, dealt over its ``tiles``.
+
+    Rows are named by the first of the columns; their fingerprint is in the last ones, in all but the first if there are several.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -283,7 +305,59 @@ def _compared(keyed: DataFrame, columns: list[str], radius: int) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(rest[0][a]), pa.array(rest[0][b])], names=["a", "b"])
 
-    return jobs.mapInArrow(run, "a long, b long").distinct()
+    return _dealt(keyed, columns).mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(keyed: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
+    """``a``, ``b``: links that span all pairs of ``node`` of one ``key``, dealt over its ``tiles``, whose ``text`` is similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, nodes, sets = None, [], []
+        for piece in _then_none(slices(batches)):
+            rows = zip(*(c.to_pylist() for c in piece.columns), strict=True) if piece is not None else [(None,) * 6]
+            for key, p, q, _, node, text in rows:
+                if (key, p, q) != job:
+                    if len(sets) > 1:
+                        a, b = alike(sets, similarity)
+                        named = np.array(nodes, np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(named[a]), pa.array(named[b])], names=["a", "b"])
+                    job, nodes, sets = (key, p, q), [], []
+                nodes.append(node)
+                sets.append(shingle_codes(text, width, seed))
+
+    return _dealt(keyed, ["node", "text"]).mapInArrow(run, "a long, b long").distinct()
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links, as row numbers, of all pairs of sets whose Jaccard similarity is at least as asked for; empty sets are alike."""
+    n, forest = len(sets), _Forest(len(sets))
+    sizes = np.array([len(x) for x in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    bounds, starts = np.r_[0, np.cumsum(sizes)], np.r_[0, np.cumsum(np.bincount(code))]
+    holders = np.repeat(np.arange(n), sizes)[np.argsort(code, kind="stable")]
+
+    def ask(rows: np.ndarray) -> None:
+        """Link these rows with all the like ones, by the holders of each of their members."""
+        for i in rows.tolist():
+            own = code[bounds[i] : bounds[i + 1]]
+            held = starts[own + 1] - starts[own]
+            ends = np.cumsum(held)
+            at = np.arange(held.sum()) + np.repeat(starts[own] - (ends - held), held)
+            common = np.bincount(holders[at], minlength=n)
+            union = sizes[i] + sizes - common
+            near = np.flatnonzero((common / np.maximum(union, 1) >= similarity) | (union == 0))
+            forest.link(np.full(len(near), i), near)
+
+    rest = np.arange(n)
+    for _ in range(PIVOTS):
+        ask(rest[:1])
+        roots, counts = np.unique(forest.root, return_counts=True)
+        rest = np.flatnonzero(forest.root != roots[np.argmax(counts)])
+        if not len(rest):
+            break
+    ask(rest)  # the core hangs together already
+    leaf = np.flatnonzero(forest.root != np.arange(n))
+    return leaf, forest.root[leaf]
 
 
 def _then_none(batches: Iterator) -> Iterator:
@@ -351,22 +425,26 @@ def bit_keys(fp: np.ndarray, keys: int = KEYS, size: int = KEY_BITS) -> np.ndarr
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seed: int = 42, tile: int = WIDE_TILE) -> DataFrame:
-    """``id``, ``component`` for every row with an id: the least id reachable over links of texts about as similar as asked for.
+    """``id``, ``component`` for every row with an id: the least id reachable over links of texts as similar as asked for.
 
-    The similarity is the Jaccard similarity of word shingles, repeats included, as the distance of 256-bit fingerprints tells
-    it: see :func:`radius_of`. A pair is met if one of the keys agrees, which 19 of 20 pairs of similarity
-    0.8 do, and more of closer ones. Equal texts always share a component, as do null, empty and blank ones. Rows that repeat
+    The similarity is the Jaccard similarity of the sets of word shingles, and every link is a pair that has it. Candidates are met
+    by 256-bit fingerprints of these sets: a pair has to agree in one of the keys and lie within the radius (:func:`radius_of`), or be
+    joined by such pairs. By the binomial law of the bits 999 of 1000 pairs of similarity 0.8 do so directly, and more of closer ones;
+    the rest can be missed. Equal texts always share a component, as do null, empty and blank ones. Rows that repeat
     an id have the components of their own texts. Rows with a null id are left out. An empty table gives no rows. Other columns are not read.
+
+    Of the texts, one of each kind that has a candidate is shuffled to its group; a large group is cut into tiles and compared whole.
     """
     names = [f"f{k}" for k in range(WORDS)]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text")).where("id is not null")
 
-    def make(ids: list, texts: list) -> Iterator[tuple]:
-        for i, text in zip(ids, texts, strict=True):
-            yield i, *wide_fingerprint(text, width, seed, WORDS).view(np.int64).tolist()
+    def make(ids: list, bodies: list, texts: list) -> Iterator[tuple]:
+        for i, body, text in zip(ids, bodies, texts, strict=True):
+            yield i, body, *_vote([shingle_codes(text, width, seed)], WORDS).view(np.int64).tolist()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col).where("id is not null")
-    prints = written(map_rows(rows, make, "id long, " + ", ".join(f"{n} long" for n in names)), "prints")
-    nodes = written(prints.groupBy(*names).agg(F.min("id").alias("node")).select("node", *names), "nodes")
+    prints = written(map_rows(texts, make, "id long, body long, " + ", ".join(f"{n} long" for n in names)), "prints")
+    nodes = prints.groupBy("body", *names).agg(F.min("id").alias("first"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "body", *names), "nodes")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
@@ -374,13 +452,24 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             keys = bit_keys(np.stack(columns[1:], axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(c, KEYS)) for c in columns)], names=["key", "node", *names])
 
-    keyed = nodes.mapInArrow(spread, "key long, node long, " + ", ".join(f"{n} long" for n in names))
+    keyed = nodes.select("node", *names).mapInArrow(spread, "key long, node long, " + ", ".join(f"{n} long" for n in names))
     large = keyed.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
     large = written(large, "large")  # few or none: Spark broadcasts them if their size is below its threshold
     keyed = keyed.join(large, "key", "left").select("key", "node", *names, F.coalesce("tiles", F.lit(1)).alias("tiles"))
-    roots = components(_compared(keyed, ["node", *names], radius_of(similarity, 64 * WORDS)))
-    member = nodes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("component"))
-    return prints.join(written(member, "members"), names).select("id", "component")
+    groups = components(_compared(keyed, ["node", *names], radius_of(similarity, 64 * WORDS)))
+    groups = groups.unionByName(groups.select("root").distinct().select(F.col("root").alias("node"), "root"))
+    groups = written(nodes.join(groups, "node").select(F.col("root").alias("key"), "node", F.col("first").alias("id"), "body"), "groups")
+    texts = texts.join(groups.hint("merge"), ["id", "body"]).dropDuplicates(["id", "body"]).select("key", "node", "text")
+    texts = written(texts, "texts")
+    tiles = F.ceil(F.greatest(F.count("*") / min(tile, TEXT_TILE), F.sum(F.octet_length("text")) / TEXT_BYTES)).cast("int")
+    large = written(texts.groupBy("key").agg(tiles.alias("tiles")).where("tiles > 1"), "large")
+    texts = texts.join(large, "key", "left").select("key", "node", "text", F.coalesce("tiles", F.lit(1)).alias("tiles"))
+    roots = components(_verified(texts, width, similarity, seed))
+    member = nodes.join(roots, "node", "left").select("body", *names, "first", F.coalesce("root", "node").alias("root"))
+    member = written(member, "members")
+    least = written(member.groupBy("root").agg(F.min("first").alias("component")), "least")  # as above, for a very large group
+    member = member.join(least, "root").select("body", *names, "component")
+    return prints.join(member, ["body", *names]).select("id", "component")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
