@@ -54,6 +54,18 @@ def test_line_boundaries_resist_shifts():
     assert len(cut(common) & cut(["new", *common[:100], "inserted", *common[100:]])) > 0.85 * len(cut(common))
 
 
+def test_lines_between_blank_ones_are_all_cut(spark):
+    rng = random.Random(2)
+    worded = [f"line {rng.random()}" for _ in range(200)]
+    spaced = "\n\n".join(worded)
+    ends = lines.chunk_ends(spaced.split("\n"))
+    assert all(sum(map(bool, spaced.split("\n")[a:b])) >= 2 for a, b in zip([0, *ends], ends[:-1], strict=False))
+    assert [c.split("\n\n") for _, _, c in lines.chunks(spaced)] == [c.split("\n") for _, _, c in lines.chunks("\n".join(worded))]
+    docs = spark.createDataFrame([(1, spaced), (2, spaced)], "doc_id long, text string")
+    found = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    assert found[1].text == spaced and sum(bool(x) for x in found[2].text.split("\n")) <= 1
+
+
 def test_lines_keep_columns_and_empty_tables(docs, empty):
     assert lines.dedup_lines(docs).columns == [*docs.columns, "removed_lines"]
     assert lines.dedup_lines(empty).count() == 0

@@ -1,7 +1,8 @@
 """Line dedup by content-defined chunks.
 
 A text's lines are hashed, and a rolling hash over the last few line hashes decides after which lines a
-chunk ends, so that the same lines are cut alike wherever they stand. Chunks of several lines that occur
+chunk ends, so that the same lines are cut alike wherever they stand. Lines without a word don't count, and go with
+the chunk before them. Chunks of several lines that occur
 more than once in the corpus are removed, but for their first occurrence, after their bytes were compared.
 
 Only hashes are shuffled to find what repeats. The text of repeated chunks follows, grouped by its bytes.
@@ -27,26 +28,29 @@ _FACTOR = 0x9E3779B97F4A7C15
 
 
 def chunk_ends(lines: list[str], span: int = SPAN, mean: int = MEAN, min_lines: int = MIN_LINES) -> list[int]:
-    """Ends (exclusive) of a text's chunks. Before the first line the rolling hash sees nothing."""
-    hashes = np.fromiter((xxh64_intdigest(x) for x in lines), np.uint64, len(lines))
+    """Ends (exclusive) of a text's chunks: all but the last have ``min_lines`` lines with a word. Before the first of these the rolling hash sees nothing."""
+    worded = [k for k, x in enumerate(lines) if x.strip(SEPARATORS)]
+    hashes = np.fromiter((xxh64_intdigest(lines[k]) for k in worded), np.uint64, len(worded))
     rolling = window_codes(np.concatenate([np.zeros(span - 1, np.uint64), hashes]), span)
     ends, last = [], 0
     for k in (np.flatnonzero((rolling * np.uint64(_FACTOR) >> np.uint64(32)) % np.uint64(mean) == 0) + 1).tolist():
         if k - last >= min_lines:
             ends.append(k)
             last = k
-    return ends if last == len(lines) else [*ends, len(lines)]
+    ends = [worded[k] if k < len(worded) else len(lines) for k in ends]
+    return ends if ends and ends[-1] == len(lines) else [*ends, len(lines)]
 
 
 def chunks(text: str | None, min_lines: int = MIN_LINES) -> Iterator[tuple[int, int, str]]:
-    """First line, number of lines and text of the chunks that have several lines with a word."""
+    """First line, number of lines and text of the chunks that have several lines with a word; the text is that from the first to the last of them."""
     if not text:
         return
     lines, first = text.split("\n"), 0
     for end in chunk_ends(lines, min_lines=min_lines):
         own = lines[first:end]
-        if sum(1 for x in own if x.strip(SEPARATORS)) >= min_lines:
-            yield first, end - first, "\n".join(own)
+        worded = [k for k, x in enumerate(own) if x.strip(SEPARATORS)]
+        if len(worded) >= min_lines:
+            yield first, end - first, "\n".join(own[worded[0] : worded[-1] + 1])
         first = end
 
 
