@@ -1,7 +1,8 @@
 """From raw documents to shards of a training mix.
 
 Each stage takes (spark, docs, sf_dir), works on all documents its predecessor kept, and, but for the last,
-returns the columns of documents. ``doc_id`` names a document: rows of one id are kept or go together.
+returns the columns of documents. Up to decontamination each row is judged by itself, whatever its id; the mix takes
+rows of one ``doc_id`` equally often.
 """
 
 from __future__ import annotations
@@ -12,33 +13,27 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import written
 from wordloom.llm.decontaminate import clean_documents
 from wordloom.llm.mixing import taken_words
-from wordloom.llm.quality import judged
+from wordloom.llm.quality import kept_documents
 from wordloom.llm.sharding import sharded
 from wordloom.llm.simhash import similar_documents
 
 SHARDS = 16
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is not in the column ``id``; they may be a share of all, so the join is never by broadcast."""
-    gone = ids.select(F.col("id").alias("__gone")).distinct().hint("merge")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail no rule and whose host isn't rejected. A null id goes if any document without an id fails."""
-    return _without(docs, judged(docs).where("not kept"))
+    """Documents that fail no rule and whose host isn't rejected."""
+    return kept_documents(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similarity 0.8 (five words): the smallest id. Rows that repeat an id count as one; documents without an id stay."""
-    found = written(similar_documents(docs), "components")
-    kept = _without(docs, found.where("id <> component"))
-    again = written(found.groupBy("id").count().where("count > 1 and id is not null").select(F.col("id").alias("__again")), "again")
-    if again.isEmpty():
-        return kept
-    repeated = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, kept["doc_id"] == again["__again"], "left_anti").unionByName(repeated)
+    """One row of each group linked by a similarity of 0.8 (five words): one with the smallest id, null being the largest."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = written(similar_documents(rows, "__row"), "components")
+    named = found.join(rows.select("__row", "doc_id"), found["id"] == rows["__row"])
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best"))
+    best = written(best.select(F.col("best.__row").alias("__row")), "best")
+    # Rows stay in large part, so the join is never by broadcast.
+    return rows.join(best.hint("merge"), "__row", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -427,3 +427,16 @@ def test_stages_against_brute_force(spark, docs, tmp_path):
     assert Counter(r.doc_id for r in last.collect()) == Counter(k[0] for k in as_rows(mixed).elements())
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, last.collect()))
+
+
+def test_rows_without_or_with_one_id_are_judged_by_themselves(spark, tmp_path):
+    rng = random.Random(4)
+    clean = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(4)]
+    rows = [(None, clean[0]), (None, clean[0]), (None, clean[1]), (None, "too short"), (1, clean[2]), (1, "again and " * 30), (2, clean[3]), (2, clean[2])]
+    docs = spark.createDataFrame([(i, t, "en", "host", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(k for k in rows if k[1] in clean)
+    once = corpus_pipeline.near_copies(spark, kept, str(tmp_path))
+    assert once.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in once.collect()) == Counter([(None, clean[0]), (None, clean[1]), (1, clean[2]), (2, clean[3])])

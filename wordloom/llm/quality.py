@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import SEPARATORS, map_rows, written
+from .common import SEPARATORS, map_rows, slices, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -66,7 +68,12 @@ def rule_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield i, host, *measures(text)
 
     found = map_rows(docs.select(F.col(id_col).cast("long"), F.col(host_col).cast("string"), text_col), make, "id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
-    return found.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
+    return found.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+
+
+def base_failed(n_words, n_repeat_words):
+    """Whether a text with these measures fails a rule: numbers or columns."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED * n_words)
 
 
 def host_verdicts(rules: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -99,6 +106,25 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     return found.withColumn("kept", ~(F.col("base_failed") | F.col("rejected"))).drop("rejected")
 
 
+def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of docs, with all their columns, that :func:`judged` keeps: each by its own text and host, whatever its id.
+
+    Names beginning with two underscores are the operator's own.
+    """
+    at, names = docs.columns.index(text_col), [*docs.columns, "__failed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches):
+            failed = [base_failed(n, repeated) for n, *_, repeated in map(measures, piece.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(failed, pa.bool_())], names=names)
+
+    rows = written(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__failed", BooleanType())])), "judged")
+    verdicts = host_verdicts(rows.select(F.col(host_col).cast("string").alias("host"), F.col("__failed").alias("base_failed")), max_rate)
+    rejected = written(verdicts.where("rejected").select(F.col("host").alias("__host")), "rejected")  # apart from its aggregate, Spark may split the join where a host is very large
+    rows = rows.where("not __failed")
+    return rows.join(rejected, rows[host_col].cast("string").eqNullSafe(rejected["__host"]), "left_anti").drop("__failed")
+
+
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     found = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
