@@ -38,7 +38,7 @@ SMALL = 32
 #: Rows of a large group that are compared with all the others first.
 PIVOTS = 4
 #: Wide fingerprints: words of 64 bits, keys of each, bits of a key, fingerprints of a tile.
-WORDS, KEYS, KEY_BITS, WIDE_TILE = 4, 80, 12, 4096
+WORDS, KEYS, KEY_BITS, WIDE_TILE = 4, 96, 14, 4096
 #: Standard deviations of the distance that the radius for a similarity allows above its mean.
 SLACK = 4.5
 #: Texts, and their bytes, of a tile of a group of candidates.
@@ -429,7 +429,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The similarity is the Jaccard similarity of the sets of word shingles, and every link is a pair that has it. Candidates are met
     by 256-bit fingerprints of these sets: a pair has to agree in one of the keys and lie within the radius (:func:`radius_of`), or be
-    joined by such pairs. By the binomial law of the bits 999 of 1000 pairs of similarity 0.8 do so directly, and more of closer ones;
+    joined by such pairs. By the binomial law of the bits 998 of 1000 pairs of similarity 0.8 do so directly, and more of closer ones;
     the rest can be missed. Equal texts always share a component, as do null, empty and blank ones. Rows that repeat
     an id have the components of their own texts. Rows with a null id are left out. An empty table gives no rows. Other columns are not read.
 
