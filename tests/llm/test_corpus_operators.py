@@ -69,6 +69,25 @@ def test_archive_of_nothing(spark, tmp_path):
     assert spark.read.format("warc").load(str(tmp_path / "w")).count() == 0
 
 
+def test_archives_are_added_and_replaced(spark, tmp_path):
+    path, schema = str(tmp_path / "w"), "page_id long, url string, html string"
+    ids = lambda: sorted(r.record_id for r in spark.read.format("warc").load(path).collect())
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "foreign.warc").write_bytes(warc.record("response", "urn:foreign", None, b"x", b32("x")))
+    for k in range(3):
+        warc.write_pages(spark.createDataFrame([(k, None, "page"), (-k - 10, None, f"{k}")], schema), path)
+        assert ids() == sorted(["urn:foreign", *(f"urn:page:{i}" for j in range(k + 1) for i in (j, -j - 10))])
+    warc.write_pages(spark.createDataFrame([(7, None, "page")], schema), path, mode="overwrite")
+    assert ids() == ["urn:page:7"] and not [p for p in (tmp_path / "w").iterdir() if p.name.endswith(".warc.gz")][1:]
+
+
+def test_query_of_signed_ids(spark, tmp_path):
+    rows = [(-3, "http://a", "one"), (-1, "http://b", "one"), (0, None, None), (-(1 << 63), "http://c", "two")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = {r.page_id: (r.record_type, r.refers_to) for r in warc.op2_warc(spark, str(tmp_path)).collect()}
+    assert found == {-3: ("response", None), -1: ("revisit", -3), 0: ("response", None), -(1 << 63): ("response", None)}
+
+
 # Sharding
 
 

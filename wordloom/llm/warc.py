@@ -39,7 +39,8 @@ HEADERS = {
 }
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
-MANIFEST = "_files.json"
+#: Each commit leaves a manifest of its own, ``_files-<id>.json``.
+MANIFEST = "_files-"
 PARTITION_BYTES = 64 << 20
 #: A task begins another file when one is this large.
 FILE_BYTES = 256 << 20
@@ -82,10 +83,17 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task attempt writes files of its own; the manifest, written at the end, lists those of the attempts that count."""
+    """Each task attempt writes files of its own; the manifest, written at the end, lists those of the attempts that count.
 
-    def __init__(self, path: str, options: dict):
-        self.path, self.level = path, int(options.get("level", 6))
+    Appending adds a manifest, which also lists archives of others if none did so far. Overwriting adds one, too, and then removes the
+    manifests that were there before, and their files.
+    """
+
+    def __init__(self, path: str, options: dict, overwrite: bool = False):
+        self.path, self.level, self.overwrite = path, int(options.get("level", 6)), overwrite
+        fs, base = pafs.FileSystem.from_uri(path)
+        self.before = _manifests(fs, base)
+        self.foreign = [] if overwrite or self.before else [[p[len(base) + 1 :], size] for p, size in _archives(fs, base)]
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         fs, base = pafs.FileSystem.from_uri(self.path)
@@ -111,9 +119,13 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, base = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(base, recursive=True)
-        files = sorted(f for m in messages if m for f in m.files)
-        with fs.open_output_stream(f"{base}/{MANIFEST}") as out:
+        before = self.before if self.overwrite else []
+        gone = [f"{base}/{name}" for path in before for name, _ in _listed(fs, path)]
+        files = sorted([*self.foreign, *(f for m in messages if m for f in m.files)])
+        with fs.open_output_stream(f"{base}/{MANIFEST}{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps(files).encode())
+        for path in [*before, *gone]:
+            fs.delete_file(path)
 
     def abort(self, messages: list) -> None:
         """Files without a manifest are never read; the shared folder's owner clears them."""
@@ -122,6 +134,21 @@ class WarcWriter(DataSourceArrowWriter):
 # Reading
 
 
+def _manifests(fs: pafs.FileSystem, base: str) -> list[str]:
+    infos = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+    return sorted(i.path for i in infos if i.type == pafs.FileType.File and i.base_name.startswith(MANIFEST))
+
+
+def _archives(fs: pafs.FileSystem, base: str) -> list[tuple[str, int]]:
+    infos = fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True))
+    return sorted((i.path, i.size) for i in infos if i.type == pafs.FileType.File and i.path.endswith((".warc", ".warc.gz")))
+
+
+def _listed(fs: pafs.FileSystem, manifest: str) -> list:
+    with fs.open_input_stream(manifest, compression=None) as file:
+        return json.loads(file.read())
+
+
 @dataclass
 class Files(InputPartition):
     paths: list
@@ -233,13 +260,13 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         fs, base = pafs.FileSystem.from_uri(self.path)
-        if fs.get_file_info(f"{base}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{base}/{MANIFEST}") as file:
-                found = [(f"{base}/{name}", size) for name, size in json.loads(file.read())]
+        info = fs.get_file_info(base)
+        if info.type == pafs.FileType.File:
+            found = [(base, info.size)]
+        elif manifests := _manifests(fs, base):
+            found = sorted((f"{base}/{name}", size) for m in manifests for name, size in _listed(fs, m))
         else:
-            info = fs.get_file_info(base)
-            infos = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(base, recursive=True))
-            found = sorted((i.path, i.size) for i in infos if i.type == pafs.FileType.File and i.path.endswith((".warc", ".warc.gz")))
+            found = _archives(fs, base)
         plan, size = [], 0
         for path, one in found:
             if not plan or size + one > self.bytes:
@@ -309,7 +336,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], dict(self.options))
+        return WarcWriter(self.options["path"], dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -317,11 +344,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, level: int = 6) -> None:
-    """Write a record for every row. Of equal payloads of at least ``min_bytes``, the one with the smallest id is a response and larger ids revisit it.
+def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, level: int = 6, mode: str = "append") -> None:
+    """Write a record for every row, beside the archives that are there (``mode`` append) or in their place (overwrite). Of equal payloads of at least ``min_bytes``, the one with the smallest id is a response and larger ids revisit it.
 
     A null text is an empty payload. A null URL leaves the target out. Rows with a null id are always
-    responses, and so are repeated rows of the smallest id. An empty table leaves an archive without records. Other columns are not read.
+    responses, and so are repeated rows of the smallest id. Records never refer to one of an earlier write. An empty table leaves an archive without records. Other columns are not read.
     """
     register(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("uri"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.sha1("payload"))
@@ -336,7 +363,7 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
         F.col("uri").alias("target_uri"), F.lit(DATE).alias("date"), base32("sha1").alias("payload_digest"),
         F.concat(urn, F.col("first").cast("string")).alias("refers_to"), "payload",
     )
-    rows.write.format("warc").option("level", level).mode("append").save(path)
+    rows.write.format("warc").option("level", level).mode(mode).save(path)
 
 
 def base32(hex_col: str):
@@ -353,7 +380,7 @@ def op2_warc(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     found = spark.read.format("warc").option("payload", "false").option("verify", "true").load(path)
-    number = lambda c: F.try_to_number(F.substring_index(c, ":", -1), F.lit("9" * 19)).cast("long")
+    number = lambda c: F.substring_index(c, ":", -1).try_cast("long")
     return found.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"), F.coalesce("digest_ok", F.lit(True)).alias("digest_ok"))
 
 
