@@ -109,6 +109,31 @@ def test_hosts(spark):
     assert kept == 891
 
 
+def test_hosts_that_differ_by_chance_alone_all_stay(spark):
+    rng = random.Random(6)
+    rows = [(i, "short" if rng.random() < 0.3 else " ".join(f"w{i}x{k}" for k in range(20)), f"host{i % 15}" if i % 15 else None) for i in range(900)]
+    verdicts = quality.host_verdicts(quality.rule_table(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()
+    assert len(verdicts) == 15 and not any(r.rejected for r in verdicts)
+
+
+def test_query_and_sql_agree_where_hosts_fall(spark, tmp_path):
+    import duckdb
+
+    rng, rows = random.Random(8), []
+    for host, n, share in [("bad", 300, 0.9), ("few", 4, 1.0), (None, 200, 0.8), *((f"host{k}", 60, 0.05) for k in range(12))]:
+        for _ in range(n):
+            rows.append((len(rows), "too short" if rng.random() < share else " ".join(f"w{len(rows)}x{k}" for k in range(30)), host))
+    rows += [(None, None, "bad"), (3, "", "host1")]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(path)
+    found = Counter(tuple(r) for r in quality.op5_quality_rules(spark, str(tmp_path)).collect())
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    assert found == Counter(duckdb.sql(quality.ORACLE_SQL["op5_quality_rules"]).fetchall())
+    by_host = {h: {k for i, t, s in rows if s == h and i is not None and len((t or "").split()) > 10 for k in [i]} for h in ("bad", "few", None, "host1")}
+    kept = {r[0] for r in found if r[-1]}
+    assert not kept & by_host["bad"] and not kept & by_host[None] and by_host["host1"] <= kept and len(by_host["bad"]) > 10
+
+
 def test_rules_of_nothing(empty):
     assert quality.judged(empty).count() == 0
 

@@ -1,8 +1,9 @@
 """Quality rules with host verdicts.
 
 Rules fail single documents. Failures are then added up by host (domain), each host's failure rate is
-shrunk towards a beta prior fitted to all hosts by the method of moments, and hosts whose shrunk rate is
-too high take their documents with them. Small hosts therefore need much more evidence than large ones.
+shrunk towards a beta prior fitted to all hosts by the method of moments, and hosts that fail far more often than the mean of all
+take their documents with them. What counts is the lower end of the rate's posterior, so small hosts need much more
+evidence than large ones; where hosts differ no more than chance lets them, none is rejected.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ WINDOW = 5
 MIN_WORDS = 10
 #: Percent of the words that may stand in repeated windows.
 MAX_REPEATED = 20
-#: A host is rejected if its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.75
+#: A host is rejected if the odds of failing, at so many standard deviations below its shrunk rate, are so many times those of the mean host.
+HOST_ODDS, DEVIATIONS = 10.0, 2.0
 
 
 def repeated_words(words: list, width: int = WINDOW) -> int:
@@ -76,37 +77,39 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED * n_words)
 
 
-def host_verdicts(rules: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def host_verdicts(rules: DataFrame, odds: float = HOST_ODDS, deviations: float = DEVIATIONS) -> DataFrame:
     """``host``, ``n_docs``, ``n_failed``, ``rate`` (shrunk), ``rejected``: one row a host, null being one.
 
     The prior has the mean of the hosts' rates and the variance that is left after the variance expected
-    from sampling; where none is left (or one host alone) hosts count as alike, and the prior's weight is
-    that of a host of average size.
+    from sampling; where none is left (or one host alone) hosts are alike: all have the mean rate, and none is rejected.
     """
     hosts = rules.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"), F.avg(1 / F.col("n_docs")).alias("inverse"), F.avg("n_docs").alias("size")).first()
+    prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"), F.avg(1 / F.col("n_docs")).alias("inverse")).first()
     m = prior.m or 0.0
-    spread = m * (1 - m)
-    between = prior.v - spread * (prior.inverse or 0.0)
-    weight = min(max(spread / between - 1, 0.0), prior.size) if between > 0 else (prior.size or 0.0)
-    shrunk = (F.col("n_failed") + m * weight) / (F.col("n_docs") + weight)
-    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("rate")).withColumn("rejected", F.col("rate") > max_rate)
+    between = prior.v - m * (1 - m) * (prior.inverse or 0.0)
+    if between <= 0:
+        return hosts.select("host", "n_docs", "n_failed", F.lit(m).alias("rate"), F.lit(False).alias("rejected"))
+    weight = max(m * (1 - m) / between - 1, 0.0)
+    found = hosts.withColumn("rate", (F.col("n_failed") + m * weight) / (F.col("n_docs") + weight))
+    low = F.col("rate") - deviations * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n_docs") + weight + 1))
+    return found.withColumn("rejected", low * (1 - m) > odds * m * (1 - low))
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", odds: float = HOST_ODDS) -> DataFrame:
     """All columns of :func:`rule_table`, with ``host_rate`` and ``kept``.
 
     Null, empty and blank texts have no words and fail. Rows with a null host form one host. Repeated
     rows are judged each and count each. An empty table gives no rows. Other columns are not read.
     """
     rules = written(rule_table(docs, id_col, text_col, host_col), "rules")
-    verdicts = host_verdicts(rules, max_rate).select(F.col("host").alias("judged_host"), F.col("rate").alias("host_rate"), "rejected")
+    verdicts = host_verdicts(rules, odds).select(F.col("host").alias("judged_host"), F.col("rate").alias("host_rate"), "rejected")
+    verdicts = written(verdicts, "verdicts")  # apart from its aggregate, Spark may split the join where a host is very large
     found = rules.join(verdicts, F.col("host").eqNullSafe(F.col("judged_host")), "left").drop("judged_host")
     return found.withColumn("kept", ~(F.col("base_failed") | F.col("rejected"))).drop("rejected")
 
 
-def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", odds: float = HOST_ODDS) -> DataFrame:
     """The rows of docs, with all their columns, that :func:`judged` keeps: each by its own text and host, whatever its id.
 
     Names beginning with two underscores are the operator's own.
@@ -119,7 +122,7 @@ def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "sou
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(failed, pa.bool_())], names=names)
 
     rows = written(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__failed", BooleanType())])), "judged")
-    verdicts = host_verdicts(rows.select(F.col(host_col).cast("string").alias("host"), F.col("__failed").alias("base_failed")), max_rate)
+    verdicts = host_verdicts(rows.select(F.col(host_col).cast("string").alias("host"), F.col("__failed").alias("base_failed")), odds)
     rejected = written(verdicts.where("rejected").select(F.col("host").alias("__host")), "rejected")  # apart from its aggregate, Spark may split the join where a host is very large
     rows = rows.where("not __failed")
     return rows.join(rejected, rows[host_col].cast("string").eqNullSafe(rejected["__host"]), "left_anti").drop("__failed")
@@ -153,11 +156,11 @@ rules AS (
   FROM listed l LEFT JOIN dups d USING (r) LEFT JOIN repeats p USING (r)),
 failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM rules),
 hosts AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM failed GROUP BY source),
-moments AS (SELECT avg(f / n) AS m, coalesce(var_pop(f / n), 0) AS v, avg(1 / n) AS inverse, avg(n) AS size FROM hosts),
-prior AS (
-  SELECT m, CASE WHEN v - m * (1 - m) * inverse > 0
-    THEN least(greatest(m * (1 - m) / (v - m * (1 - m) * inverse) - 1, 0), size) ELSE size END AS weight FROM moments),
-bad AS (SELECT source, (f + m * weight) / (n + weight) > 0.75 AS rejected FROM hosts, prior)
+moments AS (SELECT avg(f / n) AS m, coalesce(var_pop(f / n), 0) - avg(f / n) * (1 - avg(f / n)) * avg(1 / n) AS between_ FROM hosts),
+prior AS (SELECT m, CASE WHEN between_ > 0 THEN greatest(m * (1 - m) / between_ - 1, 0) END AS weight FROM moments),
+shrunk AS (SELECT source, n, m, weight, (f + m * weight) / (n + weight) AS rate FROM hosts, prior),
+low AS (SELECT source, m, rate - 2 * sqrt(rate * (1 - rate) / (n + weight + 1)) AS low FROM shrunk),
+bad AS (SELECT source, coalesce(low * (1 - m) > 10 * m * (1 - low), false) AS rejected FROM low)
 SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed,
   NOT (f.base_failed OR b.rejected) AS kept
 FROM failed f LEFT JOIN bad b ON f.source IS NOT DISTINCT FROM b.source"""
