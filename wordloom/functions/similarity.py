@@ -8,9 +8,12 @@ query side), ``mean_df`` (mean number of elements of a result entity), ``avg_tf`
 
 from __future__ import annotations
 
+import inspect
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -83,7 +86,8 @@ def built_in(name: str) -> Similarity:
 def expression(inner: str, outer: str = "1") -> Similarity:
     """A similarity of one's own in Spark SQL: the sum of ``inner`` over the elements met, times ``outer``.
 
-    ``inner`` may use every column above but those known only after the sum (``df_d``, ``tf_d``); ``outer`` those per query and per candidate.
+    ``inner`` may use every column above but those known only after the sum (``df_d``, ``tf_d``); ``outer`` those per query and per candidate. Besides Spark's own
+    functions both may use those of :func:`with_functions`, once they are registered.
     """
     return Similarity(F.lit(1.0), F.expr(inner).cast("double"), needs_candidate=True, scale=F.expr(outer).cast("double"))
 
@@ -97,3 +101,86 @@ EXPRESSIONS = {
     "tfidf": ("tf_q * tf * idf", "1"),
     "hits": ("1", "1"),
 }
+
+
+def with_functions(spark: SparkSession) -> None:
+    """Register the mathematical functions that Spark lacks: ``erf``, ``erfc``, ``lgamma``, ``tgamma``, ``fmod``, ``remainder``, ``copysign``, ``nextafter``, ``trunc0`` (towards
+    zero), ``fdim``, ``ilogb``, ``logb`` and the Bessel functions ``j0``, ``j1``, ``jn``, ``y0``, ``y1``, ``yn``. They run batch by batch in Python; null gives null, and so does what is undefined.
+    """
+
+    def register(name: str, one) -> None:
+        def safe(*values):
+            try:
+                return None if any(v is None or v != v for v in values) else float(one(*values))
+            except (ValueError, OverflowError, ZeroDivisionError):
+                return None
+
+        if len(inspect.signature(one).parameters) == 1:
+
+            @F.pandas_udf("double")
+            def run(a: pd.Series) -> pd.Series:
+                return pd.Series([safe(x) for x in a], dtype="float64")
+
+        else:
+
+            @F.pandas_udf("double")
+            def run(a: pd.Series, b: pd.Series) -> pd.Series:
+                return pd.Series([safe(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+        spark.udf.register(name, run)
+
+    for name, one in MORE_FUNCTIONS.items():
+        register(name, one)
+
+
+def _bessel(n: int, x: float) -> float:
+    """J_n(x) by the trapezoidal rule on its integral over a period, which converges faster than any power."""
+    steps = 64 + 4 * (abs(n) + int(abs(x)))
+    return sum(math.cos(n * t - x * math.sin(t)) for t in (math.pi * (k + 0.5) / steps for k in range(steps))) / steps
+
+
+def _neumann(n: int, x: float) -> float:
+    """Y_n(x) for x > 0, by upward recurrence from its integrals for 0 and 1."""
+    if x <= 0:
+        raise ValueError("positive numbers only")
+    if n < 0:
+        return (-1) ** n * _neumann(-n, x)
+
+    def whole(m: int) -> float:
+        steps = 400 + 8 * int(x)
+        first = _simpson(lambda t: math.sin(x * math.sin(t) - m * t), 0.0, math.pi, steps) / math.pi
+        top = math.asinh(800.0 / x)
+        second = _simpson(lambda t: (math.exp(m * t) + (-1) ** m * math.exp(-m * t)) * math.exp(-x * math.sinh(t)), 0.0, top, 4000) / math.pi
+        return first - second
+
+    low, high = whole(0), whole(1)
+    for k in range(1, n):
+        low, high = high, 2 * k / x * high - low
+    return low if n == 0 else high
+
+
+def _simpson(f, a: float, b: float, steps: int) -> float:
+    h = (b - a) / steps
+    return h / 3 * (f(a) + f(b) + 4 * sum(f(a + k * h) for k in range(1, steps, 2)) + 2 * sum(f(a + k * h) for k in range(2, steps, 2)))
+
+
+MORE_FUNCTIONS = {
+    "erf": lambda x: math.erf(x),
+    "erfc": lambda x: math.erfc(x),
+    "lgamma": lambda x: math.lgamma(x),
+    "tgamma": lambda x: math.gamma(x),
+    "fmod": lambda x, y: math.fmod(x, y),
+    "remainder": lambda x, y: math.remainder(x, y),
+    "copysign": lambda x, y: math.copysign(x, y),
+    "nextafter": lambda x, y: math.nextafter(x, y),
+    "fdim": lambda x, y: max(x - y, 0.0),
+    "trunc0": lambda x: math.trunc(x),
+    "logb": lambda x: math.frexp(abs(x))[1] - 1 if x else math.nan,
+    "ilogb": lambda x: math.frexp(abs(x))[1] - 1 if x else math.nan,
+    "j0": lambda x: _bessel(0, x),
+    "j1": lambda x: _bessel(1, x),
+    "jn": lambda n, x: _bessel(int(n), x),
+    "y0": lambda x: _neumann(0, x),
+    "y1": lambda x: _neumann(1, x),
+    "yn": lambda n, x: _neumann(int(n), x),
+}

@@ -13,8 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import words
-from .tables import written
+from .functions.text import nfkc, words
+from .tables import numbered, written
 
 #: Keys that the corpus keeps itself.
 RESERVED = ("name", "created", "stemmer", "servers", "properties", "number-of-articles")
@@ -54,8 +54,16 @@ class Corpus:
         return Corpus(postings, named)
 
     @staticmethod
-    def from_text(docs: DataFrame, id_col: str, text_col: str, props: tuple[str, ...] = ()) -> Corpus:
-        """Tokens of the text as cols; the text is segment 0."""
+    def from_text(docs: DataFrame, id_col: str, text_col: str, props: tuple[str, ...] = (), first_by: str | None = None, normalise: bool = False) -> Corpus:
+        """Tokens of the text as cols; the text is segment 0.
+
+        Where ids repeat, the row with the least value of ``first_by`` (then of the text) wins; without it their words are added up. ``normalise``
+        brings texts to Unicode's compatibility composition first, as record lines are.
+        """
+        if first_by is not None:
+            docs = _first_rows(docs, id_col, [first_by, text_col])
+        if normalise:
+            docs = docs.withColumn(text_col, nfkc(F.col(text_col)))
         tokens = docs.select(F.col(id_col).alias("row"), F.explode(words(F.col(text_col))).alias("col"))
         postings = tokens.groupBy("row", "col").agg(F.count("*").alias("tf"))
         pairs = [x for p in props for x in (F.lit(p), F.col(p).cast("string"))]
@@ -112,9 +120,24 @@ class Corpus:
         return replace(self, postings=without(self.postings), rows=without(self.rows), segments=without(self.segments), dims=None)
 
     def appended(self, other: Corpus) -> Corpus:
-        """With the rows of another corpus whose names are new; the first holder of a name wins. Row ids must not clash."""
+        """With the rows of another corpus whose names are new; the first holder of a name wins.
+
+        Where new rows have ids that this corpus uses, all new rows are numbered on from its highest id, in the order of their own. Ids that aren't whole numbers must not clash.
+        """
         new = other.rows.join(self.rows.select("name"), "name", "left_anti")
-        keep = lambda df: df.join(new.select("row"), "row", "left_semi") if df is not None else None
+        if new.join(self.rows.select("row"), "row", "left_semi").limit(1).count():
+            if dict(self.rows.dtypes)["row"] not in ("int", "bigint") or dict(other.rows.dtypes)["row"] not in ("int", "bigint"):
+                raise ValueError("row ids of the two corpora clash")
+            highest = self.rows.agg(F.max("row").cast("long")).first()[0]
+            new = numbered(new.withColumnRenamed("row", "__old"), ["__old"], "__number").withColumn("row", F.col("__number") + highest)
+            new = written(new.drop("__number"), "new-rows")
+        else:
+            new = new.withColumn("__old", F.col("row"))
+        ids = new.select("__old", "row")
+
+        def keep(df: DataFrame | None) -> DataFrame | None:
+            return df if df is None else df.withColumnRenamed("row", "__old").join(ids, "__old").select(*df.columns)
+
         segments = keep(other.segments) if self.segments is None else self.segments if other.segments is None else self.segments.unionByName(keep(other.segments))
         return replace(self, postings=self.postings.unionByName(keep(other.postings)), rows=self.rows.unionByName(new.select(*self.rows.columns)), segments=segments, dims=None)
 
@@ -123,8 +146,8 @@ class Corpus:
         return self.postings.join(ids.select(F.col("id").alias(of)).distinct(), of, "left_semi")
 
     def save(self, path: str) -> None:
-        """Write as Parquet, postings ordered by col, so that the files' statistics lead a search to its words."""
-        self.postings.repartitionByRange("col").sortWithinPartitions("col", "row").write.mode("overwrite").parquet(f"{path}/postings")
+        """Write as Parquet, postings ordered by col, so that the files' statistics lead a search to its words. A word in very many rows takes several files."""
+        self.postings.repartitionByRange("col", "row").sortWithinPartitions("col", "row").write.mode("overwrite").parquet(f"{path}/postings")
         self.rows.write.mode("overwrite").parquet(f"{path}/rows")
         stored = replace(self, postings=self.spark.read.schema(self.postings.schema).parquet(f"{path}/postings"))
         for name, table in (("segments", self.segments), ("info", self.info), ("row_dims", stored.row_dims), ("col_dims", stored.col_dims)):
@@ -141,6 +164,15 @@ class Corpus:
         return Corpus(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/rows"), optional("segments"), optional("info"), (spark.read.parquet(f"{path}/row_dims"), spark.read.parquet(f"{path}/col_dims")))
 
 
+def _first_rows(docs: DataFrame, id_col: str, order: list[str]) -> DataFrame:
+    """One row of each id. Only ids that repeat have their rows gathered, one at a time in an aggregate."""
+    many = written(docs.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id"), "repeated-ids")
+    same = F.col(id_col).eqNullSafe(F.col("__id"))
+    once, again = docs.join(many, same, "left_anti"), docs.join(many, same, "left_semi")
+    least = again.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("__row"))
+    return once.unionByName(least.select("__row.*"))
+
+
 def _hadoop(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
@@ -167,9 +199,20 @@ class Library:
         fs, place = _hadoop(self.spark, f"{self.root}/{check_name(old)}")
         return fs.rename(place, _hadoop(self.spark, f"{self.root}/{check_name(new)}")[1])
 
+    def names(self) -> list[str]:
+        """The corpora in the folder: those that have postings."""
+        fs, place = _hadoop(self.spark, self.root)
+        found = [f.getPath().getName() for f in fs.listStatus(place) if f.isDirectory()] if fs.exists(place) else []
+        return sorted(n for n in found if fs.exists(_hadoop(self.spark, f"{self.root}/{n}/postings")[1]))
+
     def catalogue(self) -> DataFrame:
-        """``corpus``, ``key``, ``value`` of every corpus, in the order of their ``index.key``, those without one last."""
-        info = self.spark.read.option("recursiveFileLookup", "true").schema("key string, value string").parquet(f"{self.root}/*/info")
-        named = info.select(F.regexp_extract(F.input_file_name(), r"([^/]+)/info/[^/]+$", 1).alias("corpus"), "key", "value")
-        order = named.where("key = 'index.key'").groupBy("corpus").agg(F.max("value").alias("__rank"))
-        return named.join(order, "corpus", "left").orderBy(F.col("__rank").asc_nulls_last(), "corpus", "key").drop("__rank")
+        """``corpus``, ``key``, ``value`` of every corpus, in the order of their ``index.key``, those without one last. A corpus without information has one row of nulls."""
+        every = self.spark.createDataFrame([(n,) for n in self.names()], "corpus string")
+        named = self.spark.createDataFrame([], "of string, key string, value string")
+        for name in self.names():
+            if _hadoop(self.spark, self.root)[0].exists(_hadoop(self.spark, f"{self.root}/{name}/info")[1]):
+                own = self.spark.read.schema("key string, value string").parquet(f"{self.root}/{name}/info")
+                named = named.unionByName(own.select(F.lit(name).alias("of"), "key", "value"))
+        order = named.where("key = 'index.key'").groupBy(F.col("of").alias("ranked")).agg(F.max("value").alias("rank"))
+        found = every.join(named, F.col("corpus") == F.col("of"), "left").join(order, F.col("corpus") == F.col("ranked"), "left")
+        return found.orderBy(F.col("rank").asc_nulls_last(), "corpus", "key").select("corpus", "key", "value")

@@ -40,6 +40,18 @@ def entities(ids: DataFrame) -> DataFrame:
     )
 
 
+def named_inputs(corpus: Corpus, names: DataFrame, of: str = "rows") -> DataFrame:
+    """Inputs by ``name`` of rows, or by the words themselves (of = cols), with the other columns that :func:`entities` takes. A name the corpus doesn't know is an error."""
+    if of == "rows":
+        known = corpus.rows.select("name", F.col("row").alias("id"))
+    else:
+        known = corpus.col_dims.select(F.col("id").cast("string").alias("name"), "id")
+    unknown = names.select("name").distinct().join(known, "name", "left_anti").limit(1).collect()
+    if unknown:
+        raise ValueError(f"unknown name: {unknown[0].name!r}")
+    return entities(names.join(known, "name").drop("name"))
+
+
 def text_inputs(corpus: Corpus, texts: DataFrame) -> DataFrame:
     """Free texts as vectors of known words. ``texts`` has ``query``, ``input``, ``text``; result: ``query``, ``input``, ``id``, ``tf``. Texts without a known word give none."""
     tokens = texts.select("query", F.col("input").cast("string").alias("input"), F.explode(words(F.col("text"))).alias("id"))
@@ -112,13 +124,16 @@ def scored(corpus: Corpus, result: str, similarity: str | Similarity, inputs: Da
         everyone = everyone.unionByName(p.select(*columns))
     square = F.col("tf_q") * (F.col("idf") if kind.norm_of == "tf_idf" else F.lit(1.0))
     per_query = everyone.groupBy("query").agg(F.count("*").alias("nq"), F.sum("tf_q").alias("sum_tfq"), F.sqrt(F.sum(square * square)).alias("norm_q"))
+    # Joined to the inputs, which are few: above the postings ``query`` may be one value for all rows.
+    known = [p.join(per_query, "query") for p in known]
+    columns += ["nq", "sum_tfq", "norm_q"]
     hits, k = None, 0
     if inputs is not None:
         hits, k = known[0].join(elements, "t").select(*columns, "id", "tf"), 1
     if vectors is not None:
         more = known[k].join(vectors.select("query", "input", "id", "tf"), ["query", "input"]).select(*columns, "id", "tf")
         hits = more if hits is None else hits.unionByName(more)
-    hits = _marked(hits, filters).join(per_query, "query")
+    hits = _marked(hits, filters)
     constants = {
         "n_result": float(n_result), "n_query": float(n_query), "mean_df": s["total_df"] / max(1, n_result), "avg_tf": s["total_tf"] / max(1, n_result),
         "max_df_r": s[f"max_df_{r}"], "max_tf_r": s[f"max_tf_{r}"], "max_df_q": s[f"max_df_{q}"], "max_tf_q": s[f"max_tf_{q}"],
@@ -129,9 +144,9 @@ def scored(corpus: Corpus, result: str, similarity: str | Similarity, inputs: Da
         hits = hits.join(candidate, "id")
     gathered = [
         F.sum(kind.query * kind.element).alias("ws"), F.sum("tf").alias("tf_d"), F.count("*").alias("df_d"), F.max("cutoff").alias("most"), F.min("cutoff").alias("least"), F.count("cutoff").alias("limits"),
-        *[F.first(c).alias(c) for c in ("nq", "sum_tfq", "norm_q", *constants)], *([F.first(c).alias(c) for c in ("df", "tf_sum")] if kind.needs_candidate else []),
+        *[F.first(c).alias(c) for c in ("nq", "sum_tfq", "norm_q")], *([F.first(c).alias(c) for c in ("df", "tf_sum")] if kind.needs_candidate else []),
     ]
-    found = hits.groupBy("query", "id").agg(*gathered)
+    found = hits.groupBy("query", "id").agg(*gathered).withColumns({name: F.lit(value) for name, value in constants.items()})
     if filters.having is not None:
         found = _present(found, elements, filters.having)
     if not kind.needs_candidate:
@@ -218,17 +233,28 @@ class Request:
     similarities: tuple = STAGES
     cutoff: int | None = None
 
-    def run(self, corpus: Corpus, inputs: DataFrame | None = None, vectors: DataFrame | None = None, filters: Filters = Filters(), summary_given: DataFrame | None = None) -> dict[str, DataFrame]:
-        """``summary``, ``rows`` and ``cols``, as far as asked for."""
+    def run(self, corpus: Corpus, inputs: DataFrame | None = None, vectors: DataFrame | None = None, filters: Filters = Filters(), summary_given: DataFrame | None = None, found: DataFrame | None = None) -> dict[str, DataFrame]:
+        """``summary``, ``rows`` and ``cols``, as far as asked for.
+
+        ``found``, documents of a text search with ``query``, ``id`` and ``score``, takes the place of the first two stages; it can't go with inputs or filters.
+        """
+        if found is not None:
+            if inputs is not None or vectors is not None or summary_given is not None or filters != Filters():
+                raise ValueError("a text search takes no inputs and no filters")
+            second = written(best(found, max(self.offset + self.n_rows, self.topic_items)), "found")
+            return self._shown(corpus, {}, second)
+        if self.stage == 2 and summary_given is None:
+            raise ValueError("stage 2 needs a summary")
         first = summary_given if self.stage == 2 else summary(corpus, inputs, vectors, self.summary_words, self.similarities[0], self.cutoff)
         first = written(first, "summary")  # a few rows a query, which the next stage reads several times
         if self.stage == 1:
             return {"summary": first}
         reach = max(self.offset + self.n_rows, self.topic_items)
         second = similar(corpus, first, reach, 0, self.similarities[1], filters)
-        second = written(second, "found")
-        shown = second.where((F.col("rank") > self.offset) & (F.col("rank") <= self.offset + self.n_rows))
-        out = {"summary": first, "rows": shown}
+        return self._shown(corpus, {"summary": first}, written(second, "found"))
+
+    def _shown(self, corpus: Corpus, out: dict[str, DataFrame], second: DataFrame) -> dict[str, DataFrame]:
+        out["rows"] = second.where((F.col("rank") > self.offset) & (F.col("rank") <= self.offset + self.n_rows))
         if self.n_cols:
             out["cols"] = topics(corpus, second, self.n_cols, self.topic_items, self.similarities[2])
         return out
@@ -254,10 +280,21 @@ def two_hop(directory: Corpus, inputs: DataFrame, corpus: Corpus, k: int, hits:
     return associate(corpus, "rows", "WT_DOT_PRODUCT", k, entities(written(vector, "vector")))
 
 
-def query_weights(corpus: Corpus, result: str, inputs: DataFrame, found: DataFrame) -> DataFrame:
-    """For a look inside: which inputs each found entity holds, with the frequencies."""
+def query_weights(corpus: Corpus, result: str, inputs: DataFrame, found: DataFrame, similarity: str | Similarity | None = None) -> DataFrame:
+    """For a look inside: which inputs each found entity holds, with the frequencies. With a similarity (without a norm by vector lengths) also ``share``, the input's
+    part of the score: shares of an entity add up to its score.
+    """
     elements, _, _ = corpus.side(result)
-    return found.select("query", "id").join(elements, "id").join(inputs.select("query", "t", "weight", "tf_q"), ["query", "t"])
+    held = found.select("query", F.col("id")).join(elements, "id").join(inputs.select("query", "t", "weight", "tf_q"), ["query", "t"])
+    if similarity is None:
+        return held
+    each = inputs.withColumn("query", F.struct("query", "t"))
+    alone = scored(corpus, result, similarity, each, filters=Filters(cutoff=False)).select(F.col("query.query").alias("query"), F.col("query.t").alias("t"), "id", F.col("score").alias("share"))
+    alone = held.join(alone, ["query", "t", "id"])
+    whole = alone.groupBy("query", "id").agg(F.sum("share").alias("__all"))
+    scores = found.select("query", "id", F.col("score").alias("__score"))
+    out = alone.join(whole, ["query", "id"]).join(scores, ["query", "id"])
+    return out.withColumn("share", F.when(F.col("__all") != 0, F.col("share") * F.col("__score") / F.when(F.col("__all") != 0, F.col("__all"))).otherwise(F.lit(0.0))).drop("__all", "__score")
 
 
 def properties(corpus: Corpus, ids: DataFrame, names: tuple[str, ...]) -> DataFrame:

@@ -79,7 +79,7 @@ def k_means(counts: np.ndarray, k: int) -> list[list[int]]:
     label = np.arange(len(counts)) % k
     for _ in range(ROUNDS):
         means = np.array([counts[label == c].mean(0) if (label == c).any() else np.full(counts.shape[1], np.inf) for c in range(k)])
-        distance = ((counts[:, None, :] - means[None, :, :]) ** 2).sum(2)
+        distance = np.stack([((counts - m) ** 2).sum(1) for m in means], axis=1)  # a cluster at a time: no more room than the counts take
         new = distance.argmin(1)
         if (new == label).all():
             break
@@ -99,10 +99,10 @@ def clusters(corpus: Corpus, items: DataFrame, k: int, method: str = "hbc", simi
     schema = f"query {ids['query']}, cluster int, place int, id {ids['id']}"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        known = rows[rows["t"].notna()]
-        found, weights, counts = _matrix(known) if len(known) else ([], np.zeros(0), np.zeros((0, 0)))
         if rows["item"].nunique() > MAX_ITEMS:
             raise ValueError(f"more than {MAX_ITEMS} items to cluster")
+        known = rows[rows["t"].notna()]
+        found, weights, counts = _matrix(known) if len(known) else ([], np.zeros(0), np.zeros((0, 0)))
         n = min(k, len(found))
         groups = [list(range(len(found)))] if n <= 1 else bayesian(counts, weights, n) if method == "hbc" else k_means(counts, n)
         named = [[found[i] for i in g] for g in groups]

@@ -7,6 +7,8 @@ computes a flag for each pattern and one aggregate brings them to the document,
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import fold, matches, parse_options, parse_segments
 from ..model import Corpus
-from ..tables import written
+from ..tables import numbered, written
 from .associate import Filters
 
 
@@ -43,13 +45,18 @@ class Search:
     segments: str | None = None
     #: Folding of the corpus's index: a pattern must match under these options too.
     index_options: str | None = None
+    #: Patterns are brought to Unicode's compatibility composition, as segments are.
+    normalise: bool = True
+
+    def _text(self, pattern: Pattern) -> str:
+        return unicodedata.normalize("NFKC", pattern.text) if self.normalise else pattern.text
 
     def _flag(self, join: Join, pattern: Pattern) -> Column:
         options = next((o for o in (pattern.options, join.options, self.options) if o is not None), None)
         segments = parse_segments(next((s for s in (pattern.segments, join.segments, self.segments) if s is not None), None))
-        found = matches(F.col("text"), pattern.text, options)
+        found = matches(F.col("text"), self._text(pattern), options)
         if self.index_options:
-            found = found & matches(F.col("text"), pattern.text, parse_options(self.index_options) - {"match-head", "match-tail"})
+            found = found & matches(F.col("text"), self._text(pattern), parse_options(self.index_options) - {"match-head", "match-tail"})
         return F.coalesce(found & F.col("segid").isin(list(segments)), F.lit(False))
 
     def flags(self, corpus: Corpus) -> DataFrame:
@@ -78,7 +85,8 @@ class Search:
     def run(self, corpus: Corpus, limit: int | None = None, downsample: bool = False) -> DataFrame:
         """Found documents by id: ``query`` 0, ``id``, ``score`` 1, ``total``. Joins without a positive pattern add none. ``limit`` takes the first, or an even sample."""
         hits = self.flags(corpus).where("found").select(F.lit(0).alias("query"), "id", F.lit(1.0).alias("score"))
-        out = hits.join(hits.groupBy("query").agg(F.count("*").alias("total")), "query")
+        # One row a query, so never a join of all hits on their one value of ``query``.
+        out = hits.join(F.broadcast(hits.groupBy("query").agg(F.count("*").alias("total"))), "query")
         if limit is None:
             return out
         if downsample:
@@ -95,30 +103,42 @@ class Search:
         """First match of one pattern in each segment: ``id``, ``segid``, ``disp`` (bytes of the folded text before it)."""
         options = parse_options(pattern.options if pattern.options is not None else self.options)
         folded = fold(F.col("text"), options)
-        at = F.position(fold(F.lit(pattern.text), options), folded)
+        what = fold(F.lit(self._text(pattern)), options)
+        at = F.length(folded) - F.length(what) + 1 if "match-tail" in options else F.position(what, folded)
         rows = corpus.segments.where(self._flag(Join(), pattern))
         return rows.select(F.col("row").alias("id"), "segid", F.octet_length(F.substring(folded, F.lit(1), at - 1)).alias("disp"))
 
+    def first_places(self, corpus: Corpus, pattern: Pattern) -> DataFrame:
+        """The first match of each document, by segment and place."""
+        best = self.places(corpus, pattern).groupBy("id").agg(F.min(F.struct("segid", "disp")).alias("at"))
+        return best.select("id", "at.segid", "at.disp")
+
+    def all_places(self, corpus: Corpus, pattern: Pattern) -> DataFrame:
+        """Every match of one pattern, overlapping ones too: ``id``, ``segid``, ``disp`` as in :meth:`places`; hits are ordered by these three."""
+        options = parse_options(pattern.options if pattern.options is not None else self.options)
+        if options & {"match-head", "match-tail"} or not pattern.text:
+            return self.places(corpus, pattern)
+        spark = corpus.spark
+        what = spark.range(1).select(fold(F.lit(self._text(pattern)), options)).first()[0]  # of the pattern alone
+        rows = corpus.segments.where(self._flag(Join(), pattern)).select(F.col("row").alias("id"), "segid", fold(F.col("text"), options).alias("text"), F.monotonically_increasing_id().alias("__of"))
+        # Cut before every match: each piece but the first is one, and its place is the length of those before.
+        before = "(?=" + re.sub(r"([^\w\s])", r"\\\1", what) + ")"
+        cut = rows.select("id", "segid", "__of", F.startswith("text", F.lit(what)).alias("head"), F.posexplode(F.split("text", before)).alias("k", "piece"))
+        earlier = Window.partitionBy("id", "segid", "__of").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+        found = cut.withColumn("disp", F.coalesce(F.sum(F.octet_length("piece")).over(earlier), F.lit(0)).cast("int"))
+        return found.where("k > 0 or head").select("id", "segid", "disp")
+
 
 def downsampled(rows: DataFrame, n: int, order: str = "id") -> DataFrame:
-    """An even sample of n rows in the order of a column: of m rows, rank x stays if a line of slope n / m steps there.
-
-    Ranks come from counts by hundreds of ranges of the column, so no task orders all rows.
-    """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(rows.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()), "ranges")  # fixed, as two plans read it
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("__part", before.alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__m"))  # as many rows as partitions
-    x = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1 + F.col("__before")
-    m = F.col("__m")
+    """An even sample of n rows in the order of a column: of m rows, rank x stays if a line of slope n / m steps there. No task orders all rows."""
+    ranked = written(numbered(rows, [order], "__rank"), "ranked")
+    m = ranked.count()
 
     def step(rank: Column) -> Column:
         return F.greatest(F.lit(0), F.ceil((2 * n * (rank + 1) - m) / (2 * m)))
 
-    out = ranged.join(F.broadcast(counts), "__part").withColumn("__x", x)
-    return out.where((m <= n) | (step(F.col("__x")) > step(F.col("__x") - 1))).drop("__part", "__before", "__m", "__x")
+    x = F.col("__rank") - 1
+    return (ranked if m <= n else ranked.where(step(x) > step(x - 1))).drop("__rank")
 
 
 def sample_ranks(m: int, n: int) -> list[int]:

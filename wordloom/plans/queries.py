@@ -6,13 +6,14 @@ Scores are published with six digits, as sums of doubles differ in their last bi
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.presence import EVERY, NONE, has
-from ..functions.similarity import EXPRESSIONS, expression
-from ..functions.text import compare, fold, words
+from ..functions.similarity import EXPRESSIONS, expression, with_functions
+from ..functions.text import compare, fold
 from ..model import Corpus, Library
 from ..operators import associate as A
 from ..operators import cluster, matrix
@@ -130,10 +131,16 @@ def _(spark, d):
     return Corpus.from_counts(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_linenumber").alias("tf"))).postings
 
 
+def as_lines(docs: DataFrame, *texts: F.Column) -> DataFrame:
+    """Record lines of one file: for each document, in the order of ids, these texts."""
+    parts = F.array(*[F.struct(F.struct("doc_id", F.lit(k).alias("part")).alias("line"), t.alias("text")) for k, t in enumerate(texts)])
+    return docs.select(F.explode(parts).alias("x")).select(F.lit("one").alias("file"), "x.line", "x.text")
+
+
 @query("first_doc_wins", "SELECT source AS name, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def _(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.groupBy(F.col("source").alias("name")).agg(F.min("doc_id").alias("doc_id"))
+    lines = as_lines(table(spark, d, "documents"), F.concat(F.lit("i"), "source"), F.concat(F.lit("#title="), F.col("doc_id").cast("string")))
+    return formats.corpus_from_lines(lines).rows.select("name", F.col("props")["title"].cast("long").alias("doc_id"))
 
 
 @query("append_corpus", with_(sql.matrix("documents")) + " SELECT id, df, tf AS tf_sum FROM cd")
@@ -154,8 +161,9 @@ def _(spark, d):
 
 @query("truncated_vectors", f"SELECT doc_id AS row, c AS col, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '{sql.BREAK}'), lambda w: w <> '')[1:20]) AS c FROM documents) GROUP BY 1, 2")
 def _(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("row"), F.explode(F.slice(words(F.col("text")), 1, 20)).alias("col")).groupBy("row", "col").agg(F.count("*").alias("tf"))
+    lines = as_lines(table(spark, d, "documents"), F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("b1"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " ")))
+    found = formats.corpus_from_lines(lines, max_words=20)
+    return found.postings.join(found.rows.select("row", "name"), "row").select(F.col("name").cast("long").alias("row"), "col", "tf")
 
 
 # Filters
@@ -232,6 +240,10 @@ def _add_fulltext() -> None:
     oracle = f"SELECT id FROM ({chosen}) WHERE m <= 25 OR {t.format(1)} > {t.format(0)}"
     query("fss_downsample", oracle)(lambda spark, d: Search((Join((Pattern("the"),)),)).run(corpus(spark, d, "documents"), 25, True).select("id"))
     query("fss_limit", "SELECT doc_id AS id FROM documents WHERE contains(text, 'the') ORDER BY doc_id LIMIT 25")(lambda spark, d: Search((Join((Pattern("the"),)),)).run(corpus(spark, d, "documents"), 25).select("id"))
+    query("fss_nfkc", "SELECT doc_id AS id, 1.0::DOUBLE AS score, count(*) OVER () AS total FROM documents WHERE contains(text, 'the ')")(lambda spark, d: Search((Join((Pattern("ｔｈｅ　"),)),)).run(corpus(spark, d, "documents")).select("id", "score", "total"))
+    oracle = """SELECT doc_id AS id, 0 AS segid, (sum(octet_length(encode(piece)) + 3) OVER (PARTITION BY doc_id ORDER BY k) - 3)::BIGINT AS disp
+FROM (SELECT doc_id, unnest(string_split(text, 'the')) AS piece, generate_subscripts(string_split(text, 'the'), 1) AS k FROM documents) QUALIFY k < count(*) OVER (PARTITION BY doc_id)"""
+    query("fss_positions", oracle)(lambda spark, d: Search(()).all_places(corpus(spark, d, "documents"), Pattern("the")).withColumn("disp", F.col("disp").cast("long")))
     query("fss_places", "SELECT doc_id AS id, 0 AS segid, (octet_length(encode(substr(text, 1, strpos(text, 'the') - 1))))::BIGINT AS disp FROM documents WHERE contains(text, 'the')")(lambda spark, d: Search(()).places(corpus(spark, d, "documents"), Pattern("the")).withColumn("disp", F.col("disp").cast("long")))
     where = "(g.id IN (SELECT doc_id FROM documents WHERE contains(text, 'est')) OR g.id NOT IN (SELECT doc_id FROM documents WHERE contains(text, 'ing') OR contains(text, 'ung')))"
     oracle = with_(sql.matrix("documents"), scored("s", "WT_SMART", "rows", terms(WORDS, TF_Q), where, k=20)) + f" SELECT {SHOWN} FROM s"
@@ -257,7 +269,13 @@ KANA = [
 ]
 
 
-@query("fss_fold_kana")
+_FOLDED = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, '{o}' AS options, CASE WHEN encode({sql.folded(f"'{a}'", o)}) < encode({sql.folded(f"'{b}'", o)}) THEN -1 WHEN encode({sql.folded(f"'{a}'", o)}) > encode({sql.folded(f"'{b}'", o)}) THEN 1 ELSE 0 END AS sign, {sql.folded(f"'{a}'", o)} AS folded"
+    for a, b, o in KANA
+)
+
+
+@query("fss_fold_kana", _FOLDED)
 def _(spark, d):
     out = None
     for a, b, options in KANA:
@@ -294,6 +312,29 @@ def _(spark, d):
     return shown(A.Request(n_rows=7, offset=5).run(corpus(spark, d, "documents"), listed(spark, DOCS))["rows"])
 
 
+_GIVEN = "SELECT 0 AS qy, t, tfq, w::DOUBLE AS w, NULL::BIGINT AS cut FROM (VALUES ('the', 2, 0.5), ('est', 3, 2.0), ('de', 1, 1.0)) v(t, tfq, w)"
+
+
+@query("stage2_given_summary", with_(sql.matrix("documents"), scored("s", "WT_SMARTWA", "rows", _GIVEN, k=15)) + f" SELECT {SHOWN} FROM s")
+def _(spark, d):
+    given = spark.createDataFrame([(0, "the", 2, 0.5), (0, "est", 3, 2.0), (0, "de", 1, 1.0)], "query int, id string, tf_d long, score double")
+    return shown(A.Request(n_rows=15, stage=2).run(corpus(spark, d, "documents"), summary_given=given)["rows"])
+
+
+@query("search_topic_words", with_(sql.matrix("documents"), scored("s", "WT_SMARTAW", "cols", "SELECT 0 AS qy, doc_id AS t, 1 AS tfq, 1.0 AS w, NULL::BIGINT AS cut FROM documents WHERE contains(text, 'the') QUALIFY row_number() OVER (ORDER BY doc_id) <= 10", k=20)) + f" SELECT {SHOWN} FROM s")
+def _(spark, d):
+    c = corpus(spark, d, "documents")
+    return shown(A.Request(n_rows=10, n_cols=20).run(c, found=Search((Join((Pattern("the"),)),)).run(c).drop("total"))["cols"])
+
+
+@query("label_words", with_(sql.matrix("documents"), scored("s", "WT_SMART", "cols", "SELECT r % 3 AS qy, r AS t, 1 AS tfq, 1.0 AS w, NULL::BIGINT AS cut FROM ar WHERE r < 60", k=12)) + f" SELECT qy AS cluster, {SHOWN} FROM s")
+def _(spark, d):
+    c = corpus(spark, d, "documents")
+    grouped = c.rows.where("row < 60").select(F.lit(0).alias("query"), (F.col("row") % 3).alias("cluster"), F.col("row").alias("id"))
+    found = cluster.label_words(c, grouped, k=12)
+    return found.select("query.cluster", "id", F.round("score", 6).alias("score"), "tf_d", "df_d", "total", "rank")
+
+
 _FREE = f"""ft AS (SELECT item_id AS qy, c, count(*) AS tf FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '{sql.BREAK}')) AS c FROM benchmark) WHERE c <> '' AND c IN (SELECT id FROM cd) GROUP BY ALL),
 fs AS (SELECT qy, count(*) AS n, sum(tf) AS s FROM ft GROUP BY 1)"""
 
@@ -326,6 +367,11 @@ def _(spark, d):
     return shown(A.associate(target, "cols", "WT_DOT_PRODUCT", 40, vectors=vectors))
 
 
+@query("remapped_cols", with_(sql.matrix("orders"), sql.matrix("customers", "o_")) + " SELECT 0 AS query, c::VARCHAR AS input, r AS id, tf FROM p WHERE c IN (1, 2, 3, 5, 8) AND r IN (SELECT id FROM o_rd)")
+def _(spark, d):
+    return A.remapped(corpus(spark, d, "orders"), spark.createDataFrame([(i,) for i in ITEMS], "id long"), corpus(spark, d, "customers"), "cols")
+
+
 @query(
     "two_hop",
     with_(sql.matrix("documents"), sql.matrix("customers", "o_"), scored("s1", "WT_SMARTAW", "cols", terms(DOCS, cut=_CUT), k=70), scored("s2", "WT_SMARTWA", "rows", "SELECT qy, id AS t, tf_d AS tfq, score AS w, NULL::BIGINT AS cut FROM s1", k=200))
@@ -341,13 +387,24 @@ _TOP = scored("d", "WT_SMARTWA", "rows", terms(WORDS, TF_Q, WEIGHT), k=10)
 _MEAN = "(SELECT ttf / rows_ AS mean, rows_ AS N FROM st)"
 
 
-@query(
-    "crossref_aw",
+_AW = (
     with_(sql.matrix("documents"), _TOP, scored("w", "WT_SMARTAW", "cols", "SELECT qy, id AS t, 1 AS tfq, 1.0 AS w, NULL::BIGINT AS cut FROM d", k=15))
     + f""" SELECT d.id AS i, w.id AS j, round((1 + ln(p.tf)) * (1 + ln(w.tf_d)) * ln(1 + N / cd.df) / ((0.8 * mean + 0.2) * (1 + ln(rd.tf / rd.df)) * (1 + ln(w.tf_d))), 6) AS sim
-FROM d JOIN p ON p.r = d.id JOIN w ON w.id = p.c JOIN cd ON cd.id = p.c JOIN rd ON rd.id = d.id, {_MEAN}""",
+FROM d JOIN p ON p.r = d.id JOIN w ON w.id = p.c JOIN cd ON cd.id = p.c JOIN rd ON rd.id = d.id, {_MEAN}"""
 )
+
+
+@query("crossref_aw", _AW)
 def _(spark, d):
+    return documents_by_words(spark, d)
+
+
+@query("crossref_wa", f"SELECT j AS i, i AS j, sim FROM ({_AW})")
+def _(spark, d):
+    return matrix.transposed(documents_by_words(spark, d))
+
+
+def documents_by_words(spark: SparkSession, d: str) -> DataFrame:
     c = corpus(spark, d, "documents")
     docs = A.associate(c, "rows", "WT_SMARTWA", 10, listed(spark, WORDS, TF_Q, WEIGHT))
     docs = written(docs, "documents")
@@ -367,6 +424,18 @@ def _(spark, d):
     return matrix.cross_reference(c, own, own).withColumn("sim", F.round("sim", 6))
 
 
+@query(
+    "pair_similarity",
+    with_(sql.matrix("documents"))
+    + f""" SELECT a.r AS i, b.r AS j, round(sum((1 + ln(a.tf)) * (1 + ln(b.tf)) * ln(1 + N / cd.df)) / ((0.8 * any_value(mean) + 0.2 * any_value(y.df)) * (1 + ln(any_value(x.tf / x.df))) * (1 + ln(any_value(y.tf / y.df)))), 6) AS sim
+FROM p a JOIN p b ON a.c = b.c JOIN cd ON cd.id = a.c JOIN rd x ON x.id = a.r JOIN rd y ON y.id = b.r, {_MEAN} WHERE a.r = 3 AND b.r = 11 GROUP BY 1, 2""",
+)
+def _(spark, d):
+    c = corpus(spark, d, "documents")
+    one, other = (matrix.row_vectors(c, spark.createDataFrame([(i,)], "id long")) for i in (3, 11))
+    return matrix.cross_reference(c, one, other).withColumn("sim", F.round("sim", 6))
+
+
 @query(
     "crossref_ww",
     with_(sql.matrix("orders"), "w AS (SELECT c AS id, r AS t, tf, count(*) OVER (PARTITION BY c) AS n, sum(tf) OVER (PARTITION BY c) AS s FROM p WHERE c IN (1, 2, 3, 5, 8))")
@@ -396,13 +465,14 @@ def _(spark, d):
     return A.properties(corpus(spark, d, "documents"), spark.createDataFrame([(i,) for i in DOCS], "id long"), ("lang", "source"))
 
 
-@query("catalogue", "SELECT lang AS corpus, 'number-of-documents' AS key, count(*)::VARCHAR AS value FROM documents GROUP BY 1")
+@query("catalogue", "SELECT coalesce(lang, 'none') AS corpus, 'number-of-documents' AS key, count(*)::VARCHAR AS value FROM documents GROUP BY 1")
 def _(spark, d):
     library = Library(spark, shared_path(spark, "library"))
-    docs = table(spark, d, "documents")
-    for lang in [r.lang for r in docs.select("lang").distinct().orderBy("lang").limit(100).collect()]:  # a catalogue entry each
-        info = docs.where(F.col("lang") == lang).agg(F.count("*").cast("string").alias("value")).select(F.lit("number-of-documents").alias("key"), "value")
-        info.write.parquet(f"{library.root}/{lang}/info")
+    docs = table(spark, d, "documents").withColumn("lang", F.coalesce("lang", F.lit("none")))
+    for lang, n in docs.groupBy("lang").count().toLocalIterator():  # a corpus each
+        own = docs.where(F.col("lang") == lang).select(F.col("doc_id").alias("row"), F.lit("document").alias("col"), F.lit(1).alias("tf"))
+        info = spark.createDataFrame([("number-of-documents", str(n))], "key string, value string")
+        library.save(lang, replace(Corpus.from_counts(own), info=info))
     return library.catalogue()
 
 
@@ -417,15 +487,18 @@ def _(spark, d):
     return shown(A.associate(corpus(spark, d, "conversations"), "cols", "WT_SMARTAW", 25, listed(spark, [1, 2, 3, 5])))
 
 
-@query("batch_topk", with_(sql.matrix("orders"), scored("s", "WT_COSINE", "rows", "SELECT o_custkey AS qy, l_partkey AS t, count(*) AS tfq, 1.0 AS w, NULL::BIGINT AS cut FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 100 GROUP BY 1, 2", k=5)) + " SELECT qy AS query, id, round(score, 6) AS score, tf_d, df_d, total, rank FROM s")
+@query("batch_topk", with_(sql.matrix("orders"), scored("s", "WT_COSINE", "rows", "SELECT o_custkey AS qy, l_partkey AS t, count(*) AS tfq, 1.0 AS w, NULL::BIGINT AS cut FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 50 = 0 GROUP BY 1, 2", k=5)) + " SELECT qy AS query, id, round(score, 6) AS score, tf_d, df_d, total, rank FROM s")
 def _(spark, d):
     c = corpus(spark, d, "orders")
-    asked = table(spark, d, "orders").where("o_custkey < 100").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    asked = table(spark, d, "orders").where("o_custkey % 50 = 0").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     inputs = A.entities(asked.groupBy(F.col("o_custkey").alias("query"), F.col("l_partkey").alias("id")).agg(F.count("*").alias("tf_q")))
     return A.associate(c, "rows", "WT_COSINE", 5, inputs).select("query", "id", F.round("score", 6).alias("score"), "tf_d", "df_d", "total", "rank")
 
 
-@query("result_xml")
+_XML = "'<result status=\"OK\" total=\"' || max(total) || '\">' || string_agg('<item name=\"' || id || '\" score=\"' || printf('%e', score) || '\" TFd=\"' || tf_d || '\" DFd=\"' || df_d || '\"/>', '' ORDER BY rank) || '</result>'"
+
+
+@query("result_xml", with_(sql.matrix("documents"), scored("s", "WT_SMARTWA", "rows", terms(WORDS), k=10)) + f" SELECT 0 AS query, {_XML} AS xml FROM s")
 def _(spark, d):
     return formats.result_xml(A.associate(corpus(spark, d, "documents"), "rows", "WT_SMARTWA", 10, listed(spark, WORDS)))
 
@@ -456,3 +529,28 @@ def _(spark, d):
 def _(spark, d):
     lines = table(spark, d, "documents").select(F.lit("one").alias("file"), F.col("doc_id").alias("line"), F.concat(F.lit("i"), F.col("doc_id").cast("string")).alias("text"))
     return formats.sampled(lines, 3, 1).select(F.substring("text", 2, 20).cast("long").alias("doc_id"))
+
+
+@query("tsv_corpus", with_(sql.matrix("documents")) + " SELECT r::VARCHAR AS name, c AS col, tf FROM p")
+def _(spark, d):
+    path = shared_path(spark, "tables")
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("i"), F.col("lang").alias("#title"), F.coalesce("text", F.lit("")).alias("b1"))
+    docs.write.option("sep", "\t").option("header", True).option("escape", '"').option("compression", "gzip").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    found = formats.corpus_from_lines(formats.tsv_lines(spark, f"{path}/*.csv.gz"))
+    return found.postings.join(found.rows, "row").select("name", "col", "tf")
+
+
+@query("xml_feed_properties", "SELECT item_id::VARCHAR AS name, 'item ' || item_id AS title, trim(regexp_replace(text, '\\s*[\\r\\n]+\\s*', ' ', 'g')) AS segment FROM benchmark")
+def _(spark, d):
+    path = shared_path(spark, "feeds")
+    items = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("title"), F.struct(F.col("text").alias("fss")).alias("data"))
+    items.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
+    found = formats.corpus_from_lines(formats.xml_lines(spark, f"{path}/*.xml"))
+    rows = found.rows.select("row", "name", F.col("props")["title"].alias("title"))
+    return rows.join(found.segments.select("row", F.col("text").alias("segment")), "row").drop("row")
+
+
+@query("expr_lgamma", with_(sql.matrix("documents"), scored("s", "lgamma", "rows", terms(WORDS, TF_Q))) + f" SELECT {SHOWN} FROM s")
+def _(spark, d):
+    with_functions(spark)
+    return shown(A.associate(corpus(spark, d, "documents"), "rows", expression("lgamma(tf + 2) * idf"), 10, listed(spark, WORDS, TF_Q)))

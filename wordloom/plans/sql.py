@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions import text as T
+
 BREAK = r"[^\p{L}\p{N}]+"
 
 #: Matrices of the test tables: counts (r, c, tf), and all rows (r).
@@ -38,6 +40,7 @@ KINDS = {
     "hits": ("1", "1", "1.0", None, "1"),
     "tf": ("h.tfq", "h.tf", "1.0", None, "1"),
     "tfidf": ("h.tfq", "h.tf * h.idf", "1.0", None, "1"),
+    "lgamma": ("1", "lgamma(h.tf + 2) * h.idf", "1.0", None, "1"),
     "custom": ("1", "h.tf / (h.tf + 1) * h.idf", "1.0", None, "g.df_d / nq"),
 }
 
@@ -73,3 +76,30 @@ SHOWN = "id, round(score, 6) AS score, tf_d, df_d, total, rank"
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes)
+
+
+def folded(text: str, options: str) -> str:
+    """The fold of a text under those options that the queries use."""
+    on = T.parse_options(options)
+    if "collapse-hirakata" in on:
+        text = f"translate({text}, '{T._range(0x3041, 0x3094)}', '{T._range(0x30A1, 0x30F4)}')"
+    if "collapse-qy" in on:
+        text = f"translate({text}, '{T.SMALL_KANA}', '{T.LARGE_KANA}')"
+    if "ignore-space" in on:
+        text = rf"regexp_replace({text}, '[\t\n\r \x{{a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]', '', 'g')"
+    for option, pairs in T.JOINED.items():
+        if option in on:
+            for pair, one in pairs.items():
+                text = f"replace({text}, '{pair}', '{one}')"
+    if "collapse-hf" in on:
+        for a in "ュユ":
+            text = f"replace(replace({text}, 'フ{a}', 'ヒ{a}'), 'ヴ{a}', 'ビ{a}')"
+    if "collapse-kx" in on:
+        text = f"regexp_replace({text}, 'ク([サシスセソ])', 'キ\\1', 'g')"
+    if "collapse-ay" in on:
+        text = f"regexp_replace({text}, '([{T.BEFORE_YA}])ヤ', '\\1ア', 'g')"
+    if "collapse-zdz" in on:
+        text = f"translate({text}, 'ヂヅ', 'ジズ')"
+    if "collapse-ka" in on:
+        text = f"translate({text}, '{T.COUNTERS}', '{'箇' * len(T.COUNTERS)}')"
+    return text

@@ -1,24 +1,28 @@
 """Corpora from record lines, TSV and XML; vectors and results as text.
 
-All three formats become record lines, a table ``(file, line, text)``, which Spark's string functions and one window over
-each file turn into a corpus. A file is read by one task, since its lines belong together; many files are read side by side.
+All three formats become record lines, a table ``(file, line, text)``, which Spark's string functions and running totals
+turn into a corpus. Files of record lines are split among tasks like any text; a TSV or XML file is read by one task, many side by side.
 """
 
 from __future__ import annotations
 
+import bz2
 import csv
+import gzip
 import io
+import lzma
 import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import nfkc, words
 from ..model import RESERVED, Corpus
+from ..tables import numbered, running_total
 
 #: One record line of each kind; anything else is malformed.
 KINDS = r"^(?:@[^=]+=.*|\$[^=]+=.*|i.+|#[^=]+=.*|b1.*|[!+].*| .+|[1-9][0-9]* .+)?$"
@@ -26,18 +30,30 @@ PROPERTY = r"[A-Za-z_][A-Za-z0-9_.:-]*"
 
 
 def record_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the record format. A byte order mark and carriage returns are dropped."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^﻿|\r(?=\n|$)", "").alias("value"))
-    return files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    """Lines of the record format. A byte order mark and carriage returns are dropped. ``line`` is a place in the file, by which its lines are ordered."""
+    begin = F.col("_metadata.file_block_start")
+    read = spark.read.option("lineSep", "\n").text(path)
+    read = read.select(F.col("_metadata.file_path").alias("file"), F.struct(begin.alias("begin"), F.monotonically_increasing_id().alias("n")).alias("line"), "value")
+    marked = F.regexp_replace("value", "\r$", "")
+    return read.select("file", "line", F.when(F.col("line.begin") == 0, F.regexp_replace(marked, "^\ufeff", "")).otherwise(marked).alias("text"))
+
+
+#: How compressed files begin.
+PACKED = {b"\x1f\x8b": gzip.decompress, b"BZh": bz2.decompress, b"\xfd7zXZ\x00": lzma.decompress}
+
+
+def unpacked(content: bytes) -> bytes:
+    """The content of a gzip, bzip2 or xz file; others as they are."""
+    return next((f(content) for head, f in PACKED.items() if content.startswith(head)), content)
 
 
 def _converted(files: DataFrame, convert) -> DataFrame:
-    """Lines that ``convert`` (bytes to lines) makes of each whole file."""
+    """Lines that ``convert`` (bytes to lines) makes of each whole file, compressed or not."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
-                lines = list(convert(content))
+                lines = list(convert(unpacked(content)))
                 yield pd.DataFrame({"file": name, "line": range(len(lines)), "text": lines})
 
     return files.select("path", "content").mapInPandas(run, "file string, line int, text string")
@@ -115,16 +131,15 @@ def corpus_from_lines(lines: DataFrame, properties: tuple[str, ...] = ("title",
             raise ValueError(f"not a property name: {p!r}")
     bad = lines.where(~F.col("text").rlike(KINDS)).limit(1).collect()
     if bad:
-        raise ValueError(f"malformed line {bad[0].line + 1} of {bad[0].file}: {bad[0].text[:80]!r}")
-    order = Window.partitionBy("file").orderBy("line")
+        raise ValueError(f"malformed line in {bad[0].file}: {bad[0].text[:80]!r}")
     starts = F.col("text").rlike("^i")
-    numbered = lines.where("text <> ''").withColumn("record", F.sum(starts.cast("long")).over(order))
-    info = numbered.where("record = 0 and text rlike '^[@$]'").select("file", "line", F.regexp_extract("text", r"^[@$]([^=]+)=", 1).alias("key"), F.regexp_extract("text", r"^[^=]+=(.*)$", 1).alias("value"))
+    counted = running_total(lines.where("text <> ''"), starts.cast("long"), ["line"], "record", ("file",))
+    info = counted.where("record = 0 and text rlike '^[@$]'").select("file", "line", F.regexp_extract("text", r"^[@$]([^=]+)=", 1).alias("key"), F.regexp_extract("text", r"^[^=]+=(.*)$", 1).alias("value"))
     info = info.where(~F.col("key").isin(*RESERVED) & ~F.startswith("key", F.lit("stat."))).groupBy("key").agg(F.max_by("value", F.struct("file", "line")).alias("value"))
-    names = numbered.where(starts).select("file", "record", F.substring("text", 2, 1 << 30).alias("name"))
+    names = counted.where(starts).select("file", "record", F.substring("text", 2, 1 << 30).alias("name"))
     first = names.groupBy("name").agg(F.min(F.struct("file", "record")).alias("at")).select("name", "at.*")
-    ids = first.withColumn("row", _numbers(first))
-    own = numbered.where(~starts & (F.col("record") > 0)).join(ids.select("file", "record", "row"), ["file", "record"])
+    ids = numbered(first, ["file", "record"], "row")
+    own = counted.where(~starts & (F.col("record") > 0)).join(ids.select("file", "record", "row"), ["file", "record"])
     body = F.col("text").rlike("^#body=")
     raw = own.where(body | F.col("text").rlike("^(?:b1| |[1-9])"))
     text = F.when(body, F.substring("text", 7, 1 << 30)).when(F.startswith("text", F.lit("b1")), F.substring("text", 3, 1 << 30))
@@ -144,15 +159,10 @@ def corpus_from_lines(lines: DataFrame, properties: tuple[str, ...] = ("title",
     return Corpus(postings, rows, segments, info)
 
 
-def _numbers(first: DataFrame) -> Column:
-    """1, 2, ... by first appearance: a rank over names, the smallest table of a corpus."""
-    return F.row_number().over(Window.orderBy("file", "record")).cast("long")
-
-
 def sampled(lines: DataFrame, interval: int, offset: int) -> DataFrame:
     """Every ``interval``-th record, by its number in the file."""
-    numbered = lines.withColumn("record", F.sum(F.col("text").rlike("^i").cast("long")).over(Window.partitionBy("file").orderBy("line")))
-    return numbered.where((F.col("record") == 0) | (F.pmod(F.col("record") - 1, F.lit(interval)) == offset)).drop("record")
+    counted = running_total(lines, F.col("text").rlike("^i").cast("long"), ["line"], "record", ("file",))
+    return counted.where((F.col("record") == 0) | (F.pmod(F.col("record") - 1, F.lit(interval)) == offset)).drop("record")
 
 
 def segment_counts(corpus: Corpus) -> DataFrame:
@@ -183,9 +193,23 @@ def parse_vectors(vectors: DataFrame, column: str = "vector") -> DataFrame:
     return pairs.groupBy("query", F.col("pair")[0].alias("id")).agg(F.sum(F.col("pair")[1].cast("long")).alias("tf"))
 
 
-def result_xml(found: DataFrame) -> DataFrame:
-    """``query`` and ``xml`` of a result: its items in order, scores in scientific form."""
-    clean = F.replace(F.replace(F.replace(F.col("id").cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    item = F.format_string('<item name="%s" score="%e" TFd="%d" DFd="%d"/>', clean, "score", "tf_d", "df_d")
+def result_xml(found: DataFrame, rows: DataFrame | None = None, props: tuple[str, ...] = ("title", "link")) -> DataFrame:
+    """``query`` and ``xml`` of a result: its items in order, scores in scientific form, in an envelope with the status and the total.
+
+    With ``rows`` (of the corpus) items carry their names and the listed properties they have.
+    """
+
+    def clean(c):
+        for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(mark), F.lit(entity))
+        return c
+
+    own, more = F.col("id").cast("string"), F.lit("")
+    if rows is not None:
+        found = found.join(rows.select(F.col("row").alias("id"), F.col("name").alias("__name"), "props"), "id", "left")
+        own = F.coalesce("__name", own)
+        for p in props:
+            more = F.concat(more, F.coalesce(F.concat(F.lit(f' {p}="'), clean(F.col("props")[p]), F.lit('"')), F.lit("")))
+    item = F.concat(F.lit('<item name="'), clean(own), F.lit('"'), more, F.format_string(' score="%e" TFd="%d" DFd="%d"/>', "score", "tf_d", "df_d"))
     items = F.transform(F.sort_array(F.collect_list(F.struct("rank", item.alias("item")))), lambda x: x["item"])
     return found.groupBy("query").agg(F.concat(F.lit('<result status="OK" total="'), F.first("total").cast("string"), F.lit('">'), F.array_join(items, ""), F.lit("</result>")).alias("xml"))
