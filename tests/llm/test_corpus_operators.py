@@ -163,7 +163,7 @@ def test_urls_by_trie_and_by_join(spark):
         best = max(fits, default=None)
         want[(k, host, path, best and best[2], best[3] if best else "allow")] += 1
     for limit in (1 << 20, 0):
-        assert Counter(tuple(r) for r in urls.judge(pages, rules, broadcast_bytes=limit).collect()) == want
+        assert Counter(tuple(r) for r in urls.judge(pages, rules, broadcast_nodes=limit).collect()) == want
     assert urls.judge(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in urls.judge(pages, rules.limit(0), default="block").collect()} == {"block"}
 
@@ -260,8 +260,17 @@ def test_simhash_against_brute_force(docs, rows, empty, monkeypatch):
     assert [simhash.fingerprint(t) for _, t, _ in rows[:20]] == [f for _, f in pairs[:20]]
 
 
-@pytest.mark.parametrize("tile, spread, radius", [(2048, 3, 4), (40, 3, 4), (40, 6, 4), (64, 2, 3)])
-def test_links_of_crowded_buckets(spark, tile, spread, radius):
+def test_keys_grow_with_the_number_of_fingerprints():
+    assert [simhash.blocks_alike(n, 4) for n in (0, 10**6, 10**8, 10**9, 10**10)] == [2, 2, 2, 3, 4]
+    plans = [simhash.key_plan(n, 0.8) for n in (0, 512, 513, 10**5, 10**7, 10**10)]
+    assert plans[:3] == [(1, 0), (1, 0), (12, 1)] and all(n / 2**size <= 512 for n, (_, size) in zip((0, 512, 513, 10**5, 10**7, 10**10), plans, strict=True))
+    bits = np.random.default_rng(1).integers(0, 1 << 63, (50, 4), dtype=np.uint64)
+    keys = simhash.bit_keys(bits, *simhash.key_plan(10**10, 0.8))
+    assert keys.shape == (50, 584) and len({tuple(k) for k in keys}) == 50 and len(np.unique(keys >> 44)) == 584
+
+
+@pytest.mark.parametrize("tile, spread, radius, alike", [(2048, 3, 4, None), (40, 3, 4, 2), (40, 6, 4, 3), (64, 2, 3, 4)])
+def test_links_of_crowded_buckets(spark, tile, spread, radius, alike):
     rng = random.Random(tile + spread)
     prints = set()
     for center in [rng.getrandbits(64) for _ in range(3)]:
@@ -272,7 +281,7 @@ def test_links_of_crowded_buckets(spark, tile, spread, radius):
             prints.add(f)
     prints |= {rng.getrandbits(64) for _ in range(200)}
     signed = {f: f - (1 << 64) if f >> 63 else f for f in prints}
-    edges = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(f,) for f in signed.values()], "fp long"), radius, tile).collect()]
+    edges = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(f,) for f in signed.values()], "fp long"), radius, tile, alike).collect()]
     back = {s: f for f, s in signed.items()}
     assert all((back[a] ^ back[b]).bit_count() <= 64 for a, b in edges)
     roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -362,7 +371,9 @@ def test_alike_sets_against_brute_force():
     assert groups(root) == groups(found) and len(groups(root)) < len(sets)
 
 
-def test_core_of_a_crowded_group_keeps_every_link():
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 32])
+def test_core_of_a_crowded_group_keeps_every_link(monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = random.Random(5)
     values = []
     for center in [rng.getrandbits(256) for _ in range(6)]:
@@ -395,7 +406,7 @@ def test_bit_sliced_counts():
     x = np.concatenate([a ^ b, a, np.zeros(10, np.uint64), np.full(3, (1 << 64) - 1, np.uint64)])
     planes = simhash._planes(x)
     for radius in (1, 3, 4, 5, 8):
-        (at,), close = simhash.close_words(lambda k, at: planes[k][at[0]], (np.arange(planes.shape[1]),), radius)
+        (at,), close = simhash.close_words(lambda k, at: planes[k] if at is None else planes[k][at[0]], planes.shape[1], radius)
         word, bit = simhash._set_bits(close)
         got = {int(p) for p in at[word] * 64 + bit if p < len(x)}
         assert got == set(np.flatnonzero(np.bitwise_count(x) <= radius).tolist())
@@ -448,6 +459,16 @@ def test_stages_against_brute_force(spark, docs, tmp_path):
     assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, last.collect()))
 
 
+def test_stages_of_nothing(spark, empty, tmp_path):
+    documents = empty.select("doc_id", "text", "lang", "source", "n_chars")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, documents, str(tmp_path))
+        assert found.columns == documents.columns and found.count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_rows_without_or_with_one_id_are_judged_by_themselves(spark, tmp_path):
     rng = random.Random(4)
     clean = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(4)]

@@ -2,47 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import shared_path as fresh_path
+from ..tables import written
+
+__all__ = ["SEPARATORS", "WORD", "bounded_rows", "fresh_path", "map_rows", "slices", "window_codes", "word_count", "written"]
+
 #: What separates words: the blank and the ASCII controls from tab to carriage return.
 #: ``bytes.split()`` without an argument cuts at exactly these.
 SEPARATORS = " \t\n\v\f\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Rows of a slice that a Python task holds as Python objects at one time.
-SLICE = 256
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset (tests), a temporary one."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="wordloom-"))
-        base = sc.getCheckpointDir()
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them back.
-
-    Tasks lost with an executor then start again from the files. The folder belongs to the cluster,
-    which clears it like any checkpoint directory.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of a slice that a Python task holds as Python objects at one time, and their bytes (or one row).
+SLICE, SLICE_BYTES = 256, 16 << 20
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
@@ -62,7 +39,16 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces small enough to hold as Python objects, however long the texts."""
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
+            yield from _halves(batch.slice(at, SLICE))
+
+
+def _halves(piece: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if piece.num_rows > 1 and piece.nbytes > SLICE_BYTES:
+        half = piece.num_rows // 2
+        yield from _halves(piece.slice(0, half))
+        yield from _halves(piece.slice(half))
+    else:
+        yield piece
 
 
 def map_rows(df: DataFrame, make: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:

@@ -10,7 +10,7 @@ Only hashes are shuffled to find what repeats. The text of repeated chunks follo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +64,11 @@ def without_lines(text: str | None, gone: list | None) -> tuple[str | None, int]
     return "\n".join(x for k, x in enumerate(lines) if k not in drop), len(drop)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _code(chunk: str) -> int:
+    return xxh64_intdigest(chunk) - (1 << 63)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", code: Callable[[str], int] = _code) -> DataFrame:
     """All columns of docs, the text without repeated chunks, and ``removed_lines``.
 
     The occurrence with the smallest id stays (null ids count as larger than all; where only rows with null ids hold a chunk, each keeps its first). Repeated rows of that id all keep it. Null and
@@ -72,7 +76,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows. A column ``removed_lines`` of docs gives way to the new one; names beginning with two underscores are the operator's own.
 
     The texts are shuffled once, to meet the hashes they share with others; only texts that share
-    some go on to have their chunks compared.
+    some go on to have their chunks compared. ``code`` hashes a chunk to 64 bits; where two chunks share one by accident, their bytes still tell them apart.
     """
     docs = docs.drop("removed_lines")
     key = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("body")).alias("__key")
@@ -80,13 +84,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def codes(ids: list, bodies: list, texts: list) -> Iterator[tuple]:
         for i, body, text in zip(ids, bodies, texts, strict=True):
             for _, _, chunk in chunks(text):
-                yield i, body, _code(chunk)
+                yield i, body, code(chunk)
 
     slim = docs.select(key, text_col).select("__key.*", text_col)
     slim = written(map_rows(slim, codes, "id long, body long, hash long"), "codes")
     repeated = slim.groupBy("hash").count().where("count > 1").select("hash")
     repeated = written(repeated, "repeated")  # apart from its aggregate, Spark may split the join where a hash is very common
     shared = slim.join(repeated, "hash").groupBy(F.struct("id", "body").alias("__of")).agg(F.collect_set("hash").alias("__shared"))
+    shared = written(shared, "shared")  # as above, for an id that repeats very often
     keyed = docs.select("*", key)
     # Texts are many times larger than what they meet, at any scale that matters: always a merge join.
     both = keyed.join(shared.hint("merge"), F.col("__key").eqNullSafe(F.col("__of")), "left").drop("__of")
@@ -97,7 +102,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for i, body, wanted, text in zip(ids, bodies, hashes, texts, strict=True):
             wanted, seen = set(wanted), set()
             for first, n, chunk in chunks(text):
-                if _code(chunk) in wanted:
+                if code(chunk) in wanted:
                     yield i, body, first, n, chunk not in seen, chunk
                     seen.add(chunk)
 
@@ -108,14 +113,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     later = F.coalesce(F.col("id") > F.col("lead"), F.col("lead").isNotNull()) | ~F.col("first_here")
     gone = found.join(same.hint("merge"), "chunk").where(later)
     gone = gone.groupBy(F.struct("id", "body").alias("__of")).agg(F.collect_set(F.struct("first_line", "n_lines")).alias("__gone"))
+    gone = written(gone, "gone")
     sharing = sharing.drop("__shared").join(gone.hint("merge"), F.col("__key").eqNullSafe(F.col("__of")), "left").drop("__of", "__key")
     return alone.withColumn("removed_lines", F.lit(0)).unionByName(_cleaned(sharing, docs.columns.index(text_col)))
 
 
-def _code(chunk: str) -> int:
-    return xxh64_intdigest(chunk) - (1 << 63)
-
-
 def _cleaned(both: DataFrame, at: int) -> DataFrame:
     """Column ``at`` without the stretches of lines in the last column, which gives way to their number."""
     schema = StructType([*both.schema.fields[:-1], StructField("removed_lines", IntegerType())])

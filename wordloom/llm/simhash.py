@@ -1,8 +1,8 @@
 """SimHash near-duplicates by bit-sliced comparison of 64-bit fingerprints.
 
-Candidates come from the pigeonhole principle: 64 bits are cut into ``radius + 2`` blocks, and two
-fingerprints that differ in at most ``radius`` bits agree in two whole blocks at least, so every
-choice of two blocks makes one bucket key. Buckets too large for a task are cut into tiles, and pairs
+Candidates come from the pigeonhole principle: 64 bits are cut into ``radius + k`` blocks, and two
+fingerprints that differ in at most ``radius`` bits agree in ``k`` whole blocks at least, so every
+choice of ``k`` blocks makes one bucket key. The number of fingerprints chooses ``k``: more of them ask for longer keys. Buckets too large for a task are cut into tiles, and pairs
 of tiles become tasks of their own, so a bucket of any size is compared whole. Within a task bit
 planes lie vertically (64 fingerprints a word); carry-save counters add up differing bits, and words
 in which all pairs exceed the radius are given up early. A task hands on a spanning star for each
@@ -10,7 +10,7 @@ group it links, never its pairs. Components follow from alternating large and sm
 
 A radius that stands for a similarity of 0.8 is too wide for the pigeonhole principle, so :func:`similar_documents`
 takes fingerprints of 256 bits, whose distance tells the similarity more closely, and finds candidates by
-many keys, each made of a few bits from all over the fingerprint. The comparison is the same, with a radius that
+many keys, each made of a few bits from all over the fingerprint. The number of texts chooses the bits of a key, and these the number of keys. The comparison is the same, with a radius that
 lets nearly all similar texts through. Then the texts of each group of candidates meet, and only
 those whose shingles are similar enough are linked.
 """
@@ -35,10 +35,16 @@ CHUNK = 1 << 16
 TILE = 2048
 #: Groups up to this size are compared together with their neighbours, by offset.
 SMALL = 32
-#: Rows of a large group that are compared with all the others first.
-PIVOTS = 4
-#: Wide fingerprints: words of 64 bits, keys of each, bits of a key, fingerprints of a tile.
-WORDS, KEYS, KEY_BITS, WIDE_TILE = 4, 96, 14, 4096
+#: Rows of a group of more than CROWD that are compared with all the others first.
+PIVOTS, CROWD = 4, 1024
+#: Wide fingerprints: words of 64 bits, fingerprints of a tile.
+WORDS, WIDE_TILE = 4, 4096
+#: Fingerprints of a bucket that keys are made for, were the bits even: in tens of thousands of buckets, and in few large ones of wide fingerprints.
+BUCKET, WIDE_BUCKET = 64, 512
+#: Keys in which two similar texts agree on average.
+MET = 9.6
+#: Words of 64 pairs that are compared at one time.
+GRID = 1 << 14
 #: Standard deviations of the distance that the radius for a similarity allows above its mean.
 SLACK = 4.5
 #: Texts, and their bytes, of a tile of a group of candidates.
@@ -98,15 +104,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(docs.select(F.col(id_col).cast("long"), text_col), make, "id long, fp long")
 
 
-def close_words(plane: Callable[[int, tuple], np.ndarray], at: tuple[np.ndarray, ...], radius: int, bits: int = 64) -> tuple[tuple, np.ndarray]:
-    """Masks of the pairs within the radius.
+def _added(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry and sum of three words, bit by bit."""
+    half = a ^ b
+    carry = (a & b) | (half & c)
+    half ^= c
+    return carry, half
 
-    ``plane(b, at)`` gives the words of difference bits of plane ``b`` at the positions ``at``. Returns the
-    positions that were not given up and a word for each, with a set bit where the distance is small enough.
+
+def close_words(plane: Callable[[int, tuple | None], np.ndarray], n: int, radius: int, bits: int = 64, at: tuple | None = None) -> tuple[tuple, np.ndarray]:
+    """Masks of the pairs within the radius, over ``n`` words of 64 pairs.
+
+    ``plane(b, at)`` gives the words of difference bits of plane ``b`` at the positions ``at``, arrays of their places; None stands for all, in order. Eight planes at a time go through a tree of carry-save
+    adders into the counters. Returns the positions that were not given up and a word for each, with a set bit where the distance is small enough.
     """
-    n, size = len(at[0]), radius.bit_length()
-    low = [np.zeros(n, np.uint64) for _ in range(size)]
-    over = np.zeros(n, np.uint64)
+    size = max(3, radius.bit_length())
+    low, over = [np.zeros(n, np.uint64) for _ in range(size)], np.zeros(n, np.uint64)
 
     def above() -> np.ndarray:
         """over, or the counter is greater than the radius."""
@@ -119,22 +132,26 @@ def close_words(plane: Callable[[int, tuple], np.ndarray], at: tuple[np.ndarray,
                 same = same & ~low[k]
         return over | more
 
-    for b in range(0, bits, 2):
-        x, y = plane(b, at), plane(b + 1, at)
-        half = low[0] ^ x
-        carry = (low[0] & x) | (half & y)
-        low[0] = half ^ y
-        for k in range(1, size):
+    looks = {bits * k // 16 for k in (4, 6, 8, 10, 11, 12)}
+    for b in range(0, bits, 8):
+        fours = []
+        for half in (b, b + 4):
+            two, low[0] = _added(low[0], plane(half, at), plane(half + 1, at))
+            more, low[0] = _added(low[0], plane(half + 2, at), plane(half + 3, at))
+            four, low[1] = _added(low[1], two, more)
+            fours.append(four)
+        carry, low[2] = _added(low[2], *fours)
+        for k in range(3, size):
             carry, low[k] = low[k] & carry, low[k] ^ carry
         over |= carry
-        if b + 2 in (bits // 4, 3 * bits // 8, bits // 2, 3 * bits // 4) and len(over):
+        if b + 8 in looks:
             alive = np.flatnonzero(~above())
             if len(alive) < 0.8 * len(over):
-                at = tuple(a[alive] for a in at)
+                at = (alive,) if at is None else tuple(a[alive] for a in at)
                 low, over = [c[alive] for c in low], over[alive]
-        if not len(over):
-            break
-    return at, ~above()
+                if not len(over):
+                    break
+    return (np.arange(n),) if at is None else at, ~above()
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -160,7 +177,7 @@ def _links_by_offset(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[li
         if not len(i):
             break
         planes = _planes(fp[i] ^ fp[i + d])
-        (w,), close = close_words(lambda b, at, p=planes: p[b][at[0]], (np.arange(planes.shape[1]),), radius, len(planes))
+        (w,), close = close_words(lambda b, at, p=planes: p[b] if at is None else p[b][at[0]], planes.shape[1], radius, len(planes))
         word, bit = _set_bits(close)
         pair = w[word] * 64 + bit
         pair = i[pair[pair < len(i)]]
@@ -168,16 +185,47 @@ def _links_by_offset(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[li
     return left, right
 
 
-def _links_by_block(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a large group: blocks of queries against the vertical planes of all the others."""
-    planes = _planes(b)
+def _links_by_block(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a large group: blocks of queries against the vertical planes of all the others; where both are the same rows, of those not before them."""
+    every = _planes(b)
     for q in range(0, len(a), 256):
-        ones = _planes_of_queries(a[q : q + 256])
-        grid = np.indices((ones.shape[1], planes.shape[1])).reshape(2, -1)
-        (i, w), close = close_words(lambda p, at, o=ones: o[p][at[0]] ^ planes[p][at[1]], (grid[0], grid[1]), radius, len(planes))
+        skipped = q // 64 if same else 0
+        ones, planes = _planes_of_queries(a[q : q + 256]), every[:, skipped:]
+        wide = planes.shape[1]
+
+        def plane(p: int, at: tuple | None, ones=ones, planes=planes, wide=wide) -> np.ndarray:
+            return (ones[p][:, None] ^ planes[p]).ravel() if at is None else ones[p][at[0] // wide] ^ planes[p][at[0] % wide]
+
+        (at,), close = close_words(plane, ones.shape[1] * wide, radius, len(planes))
         word, bit = _set_bits(close)
-        j = w[word] * 64 + bit
-        yield q + i[word][j < len(b)], j[j < len(b)]
+        i, j = at[word] // wide, (at[word] % wide + skipped) * 64 + bit
+        yield q + i[j < len(b)], j[j < len(b)]
+
+
+def _links_of_groups(fp: np.ndarray, sizes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within groups of these sizes, one after the other in ``fp``: so many groups at one time that short arrays don't cost more than their work."""
+    ends = np.cumsum(sizes)
+    while len(sizes):
+        k = max(1, int(np.searchsorted(np.cumsum(sizes * (sizes // 64 + 1)) // 2, GRID, "right")))
+        here, sizes = sizes[:k], sizes[k:]
+        first, last, ends = int(ends[0] - here[0]), int(ends[k - 1]), ends[k:]
+        words = -(-here // 64)
+        row = np.arange(last - first)
+        offset = row - np.repeat(np.cumsum(here) - here, here)
+        begin = np.repeat(np.cumsum(words) - words, here)  # the first word of each row's group
+        padded = np.zeros((int(words.sum()) * 64, fp.shape[1]), np.uint64)
+        padded[begin * 64 + offset] = fp[first:last]
+        row_of = np.full(len(padded), -1)
+        row_of[begin * 64 + offset] = row
+        ones, planes = _planes_of_queries(fp[first:last]), _planes(padded)
+        count = np.repeat(words, here) - offset // 64  # words not before the row's own
+        query = np.repeat(row, count)
+        word = np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin + offset // 64, count)
+        at, close = close_words(lambda p, at, o=ones, s=planes: o[p][at[0]] ^ s[p][at[1]], len(query), radius, len(planes), (query, word))
+        w, bit = _set_bits(close)
+        i, j = at[0][w], row_of[at[1][w] * 64 + bit]
+        good = j > i
+        yield first + i[good], first + j[good]
 
 
 def _planes_of_queries(values: np.ndarray) -> np.ndarray:
@@ -219,15 +267,22 @@ def stars(fp: np.ndarray, group: np.ndarray, tile: np.ndarray, radius: int) -> t
         if left:
             forest.link(rows[np.concatenate(left)], rows[np.concatenate(right)])
 
+    whole = np.add.reduceat(tile, starts) == 0 if len(fp) else np.zeros(0, bool)  # of one tile
+    middle = (sizes > SMALL) & (sizes <= CROWD) & whole
+    rows = np.flatnonzero(np.repeat(middle, sizes))
+    for left, right in _links_of_groups(fp[rows], sizes[middle], radius):
+        forest.link(rows[left], rows[right])
+
     def compare(a: np.ndarray, b: np.ndarray) -> None:
         if len(a) and len(b):
-            for i, j in _links_by_block(fp[a], fp[b], radius):
+            for i, j in _links_by_block(fp[a], fp[b], radius, a is b):
                 forest.link(a[i], b[j])
 
-    for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+    large = (sizes > SMALL) & ~middle
+    for start, size in zip(starts[large], sizes[large], strict=True):
         here = np.arange(start, start + size)
-        rest = here
-        for _ in range(PIVOTS):
+        rest, core = here, np.zeros(size, bool)
+        for _ in range(PIVOTS if size > CROWD else 0):
             compare(rest[:1], here)
             roots, counts = np.unique(forest.root[here], return_counts=True)
             core = forest.root[here] == roots[np.argmax(counts)]
@@ -245,28 +300,34 @@ def stars(fp: np.ndarray, group: np.ndarray, tile: np.ndarray, radius: int) -> t
     return leaf, forest.root[leaf]
 
 
-def block_keys(fp: Column, radius: int) -> Column:
-    """Array of bucket keys: for each two of ``radius + 2`` blocks of bits their number and their bits."""
-    n = radius + 2
-    cuts = [64 * k // n for k in range(n + 1)]
+def blocks_alike(n: int, radius: int) -> int:
+    """In how many blocks of ``radius + k`` two fingerprints must agree, so that their bits tell ``n`` fingerprints apart."""
+    k = 2
+    while 64 * k // (radius + k) < math.log2(max(1, n) / BUCKET) and 64 * (k + 1) / (radius + k + 1) <= 44 and math.comb(radius + k + 1, k + 1) <= 1024:
+        k += 1
+    return k
 
-    def block(k: int) -> Column:
-        return F.shiftrightunsigned(fp, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
 
+def block_keys(fp: Column, radius: int, alike: int = 2) -> Column:
+    """Array of bucket keys: for each choice of ``alike`` of the ``radius + alike`` blocks of bits its number and their bits."""
+    n = radius + alike
+    cuts = [64 * k // n for k in range(n + 1)]
     keys = []
-    for number, (i, j) in enumerate(combinations(range(n), 2)):
-        keys.append(F.shiftleft(F.lit(number).cast("long"), 48).bitwiseOR(F.shiftleft(block(i), 24)).bitwiseOR(block(j)))
+    for number, chosen in enumerate(combinations(range(n), alike)):
+        key = F.lit(number).cast("long")
+        for k in chosen:
+            wide = cuts[k + 1] - cuts[k]
+            key = F.shiftleft(key, wide).bitwiseOR(F.shiftrightunsigned(fp, cuts[k]).bitwiseAND(F.lit((1 << wide) - 1)))
+        keys.append(key)
     return F.array(*keys)
 
 
-def links(prints: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """``a``, ``b``: links that span all pairs of distinct ``fp`` within the radius (bits that differ).
-
-    The blocks must fit 24 bits each, which they do from radius 1 on.
-    """
+def links(prints: DataFrame, radius: int = 4, tile: int = TILE, alike: int | None = None) -> DataFrame:
+    """``a``, ``b``: links that span all pairs of distinct ``fp`` within the radius (bits that differ)."""
     if not 1 <= radius <= 14:
         raise ValueError("radius must be from 1 to 14")
-    keyed = prints.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("key"))
+    alike = blocks_alike(prints.count(), radius) if alike is None else alike
+    keyed = prints.select("fp", F.explode(block_keys(F.col("fp"), radius, alike)).alias("key"))
     sizes = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
     sizes = written(sizes, "buckets")  # apart from its aggregate, Spark may split the join where a bucket is very large
     return _compared(keyed.join(sizes, "key"), ["fp"], radius)
@@ -303,11 +364,21 @@ def _compared(keyed: DataFrame, columns: list[str], radius: int) -> DataFrame:
             a, b = stars(fp, np.cumsum(new)[:end], side[:end], radius)
             held = [x[end:] for x in held]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(rest[0][a]), pa.array(rest[0][b])], names=["a", "b"])
+                yield _named_links(rest[0], a, b)
 
     return _dealt(keyed, columns).mapInArrow(run, "a long, b long").distinct()
 
 
+def _named_links(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Stars of rows as links of each row's name with the least name of its star, which the buckets that share a large group mostly have in common."""
+    least = names.copy()
+    np.minimum.at(least, b, names[a])
+    ends = np.unique(b)
+    left, right = np.r_[names[a], names[ends]], np.r_[least[b], least[ends]]
+    good = left != right
+    return pa.RecordBatch.from_arrays([pa.array(left[good]), pa.array(right[good])], names=["a", "b"])
+
+
 def _verified(keyed: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
     """``a``, ``b``: links that span all pairs of ``node`` of one ``key``, dealt over its ``tiles``, whose ``text`` is similar enough."""
 
@@ -318,9 +389,7 @@ def _verified(keyed: DataFrame, width: int, similarity: float, seed: int) -> Dat
             for key, p, q, _, node, text in rows:
                 if (key, p, q) != job:
                     if len(sets) > 1:
-                        a, b = alike(sets, similarity)
-                        named = np.array(nodes, np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(named[a]), pa.array(named[b])], names=["a", "b"])
+                        yield _named_links(np.array(nodes, np.int64), *alike(sets, similarity))
                     job, nodes, sets = (key, p, q), [], []
                 nodes.append(node)
                 sets.append(shingle_codes(text, width, seed))
@@ -410,26 +479,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
+def share_of_bits(similarity: float) -> float:
+    """Mean share of the bits that differ between texts of this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
 def radius_of(similarity: float, bits: int) -> int:
     """Differing bits up to which texts of this Jaccard similarity are linked: their mean number, and some slack."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    share = share_of_bits(similarity)
     return round(bits * share + SLACK * math.sqrt(bits * share * (1 - share)))
 
 
-def bit_keys(fp: np.ndarray, keys: int = KEYS, size: int = KEY_BITS) -> np.ndarray:
+def key_plan(n: int, similarity: float) -> tuple[int, int]:
+    """Number of keys and bits of each for ``n`` texts: buckets stay of one size as tables grow, and similar texts agree in :data:`MET` keys on average."""
+    size = max(0, math.ceil(math.log2(max(1, n) / WIDE_BUCKET)))
+    return (math.ceil(MET / (1 - share_of_bits(similarity)) ** size), size) if size else (1, 0)
+
+
+def bit_keys(fp: np.ndarray, keys: int, size: int) -> np.ndarray:
     """A row of keys for each row of words: key k holds ``size`` bits at an odd step, and k itself above them."""
     bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
     weights = np.int64(1) << np.arange(size, dtype=np.int64)
     at = [(37 * k + (2 * k + 1) * np.arange(size)) % bits.shape[1] for k in range(keys)]
-    return np.stack([bits[:, x] @ weights + (np.int64(k) << np.int64(32)) for k, x in enumerate(at)], axis=1)
+    return np.stack([bits[:, x] @ weights + (np.int64(k) << np.int64(44)) for k, x in enumerate(at)], axis=1)
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seed: int = 42, tile: int = WIDE_TILE) -> DataFrame:
     """``id``, ``component`` for every row with an id: the least id reachable over links of texts as similar as asked for.
 
     The similarity is the Jaccard similarity of the sets of word shingles, and every link is a pair that has it. Candidates are met
-    by 256-bit fingerprints of these sets: a pair has to agree in one of the keys and lie within the radius (:func:`radius_of`), or be
-    joined by such pairs. By the binomial law of the bits 998 of 1000 pairs of similarity 0.8 do so directly, and more of closer ones;
+    by 256-bit fingerprints of these sets: a pair has to agree in one of the keys (:func:`key_plan`) and lie within the radius (:func:`radius_of`), or be
+    joined by such pairs. By the binomial law of the bits 999 of 1000 pairs of similarity 0.8 do so directly in tables of up to a million texts, and more of closer ones;
     the rest can be missed. Equal texts always share a component, as do null, empty and blank ones. Rows that repeat
     an id have the components of their own texts. Rows with a null id are left out. An empty table gives no rows. Other columns are not read.
 
@@ -446,11 +526,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = prints.groupBy("body", *names).agg(F.min("id").alias("first"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "body", *names), "nodes")
 
+    n_keys, size = key_plan(nodes.count(), similarity)
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
             columns = [c.to_numpy(zero_copy_only=False) for c in piece.columns]
-            keys = bit_keys(np.stack(columns[1:], axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(c, KEYS)) for c in columns)], names=["key", "node", *names])
+            keys = bit_keys(np.stack(columns[1:], axis=1), n_keys, size)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(c, n_keys)) for c in columns)], names=["key", "node", *names])
 
     keyed = nodes.select("node", *names).mapInArrow(spread, "key long, node long, " + ", ".join(f"{n} long" for n in names))
     large = keyed.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))

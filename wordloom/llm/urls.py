@@ -2,7 +2,7 @@
 
 A rule is a host and a path. It fits the host and its subdomains, where the URL's path starts with the
 rule's. Of the rules that fit, the one deepest in the trie decides: most host labels, then the longest path.
-The trie is broadcast if its rules stay below a stated size; larger lists are joined to the URLs' possible
+The trie is broadcast if it has no more than a stated number of nodes; larger lists are joined to the URLs' possible
 keys instead, with the same result.
 """
 
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-#: Bytes of the rules' hosts and paths up to which the trie is broadcast.
-BROADCAST_BYTES = 32 << 20
+#: Nodes (labels and path segments of all rules) up to which the trie is broadcast: about half a kilobyte each in every Python worker.
+BROADCAST_NODES = 50_000
 #: Keys of a node for its rules and for its path children; neither can be a host label or a path segment.
 RULES, PATH = "/rules", "/path"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -86,7 +86,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER_LETTERS, LOWER_LETTERS), F.substring(rest, F.length(host) + 1, F.length(rest))
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """``id``, ``host``, ``path``, ``rule``, ``verdict`` for every row of pages.
 
     ``rules`` has ``host``, ``path`` and ``verdict`` (allow or block). Without a fitting rule, ``rule`` is null and the verdict
@@ -96,8 +96,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     """
     spark = pages.sparkSession
     rules = rules.select("host", "path", "verdict").dropna().distinct()
-    size = rules.agg(F.sum(F.octet_length("host") + F.octet_length("path")).alias("b")).first().b or 0
-    if size > broadcast_bytes:
+    nodes = rules.agg(F.sum(F.size(F.split("host", r"\.")) + F.size(F.split("path", "/"))).alias("n"), F.sum(F.octet_length("host") + F.octet_length("path")).alias("b")).first()
+    if (nodes.n or 0) > broadcast_nodes or (nodes.b or 0) > 64 * broadcast_nodes:
         return _judged_by_join(pages, rules, id_col, url_col, default)
     trie = spark.sparkContext.broadcast(build_trie([tuple(r) for r in rules.collect()]))
 

@@ -263,12 +263,11 @@ FROM (SELECT doc_id, unnest(string_split(text, 'the')) AS piece, generate_subscr
 
 _add_fulltext()
 
+#: Made-up words: two texts, and options under which they may be alike.
 KANA = [
-    ("ビルジング", "ビルヂング", "collapse-zdz"), ("ヴァイオリン", "バイオリン", "collapse-bv"), ("ティター", "チター", "collapse-tts"), ("ゼノバ", "ジェノバ", "collapse-ssh"), ("ヒュ", "フュ", "collapse-hf"),
-    ("ヒ", "フュ", "collapse-hf"), ("シラクサ", "シラキサ", "collapse-kx"), ("一ヶ", "一箇", "collapse-ka"), ("ギリシャ", "ギリシア", "collapse-qy,collapse-ay"), ("きょう", "キヨウ", "collapse-qy,collapse-hirakata"), ("a  b", " ab ", "ignore-space"),
+    ("モヂネ", "モジネ", "collapse-zdz"), ("ヴェモノ", "ベモノ", "collapse-bv"), ("ディネモ", "ジネモ", "collapse-tts"), ("モシェネ", "モセネ", "collapse-ssh"), ("ヴュモ", "ビュモ", "collapse-hf"), ("フュネ", "ヒネ", "collapse-hf"),
+    ("ネクスモ", "ネキスモ", "collapse-kx"), ("ネクタモ", "ネキタモ", "collapse-kx"), ("三个", "三箇", "collapse-ka"), ("モニャ", "モニア", "collapse-qy,collapse-ay"), ("もっと", "モツト", "collapse-qy,collapse-hirakata"), ("n  o", " n p", "ignore-space"),
 ]
-
-
 _FOLDED = " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, '{o}' AS options, CASE WHEN encode({sql.folded(f"'{a}'", o)}) < encode({sql.folded(f"'{b}'", o)}) THEN -1 WHEN encode({sql.folded(f"'{a}'", o)}) > encode({sql.folded(f"'{b}'", o)}) THEN 1 ELSE 0 END AS sign, {sql.folded(f"'{a}'", o)} AS folded"
     for a, b, o in KANA
