@@ -281,11 +281,11 @@ def test_leads_across_ranges(spark, block, keys, coalesce):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     agree = lambda a, b: next((d for d in range(depth) if a[d] != b[d]), depth)
     for (key, *own), ws in rows.items():
-        best = max((agree(ws, rows[o]) for o in rows if o[0] == key and list(o[1:]) < own), default=None)
-        lead = found.get(tuple(own))
-        assert (lead is None) == (best is None)
-        if lead:
-            assert list(lead) < own and agree(ws, rows[(key, *lead)]) == best
+        near = {tuple(o[1:]): agree(ws, rows[o]) for o in rows if o[0] == key and list(o[1:]) < own}
+        best = max(near.values(), default=None)
+        as_good = [o for o, d in near.items() if d == best]
+        # One lead only, however the ranges fall: results of reruns agree.
+        assert found.get(tuple(own)) == (None if best is None else max(as_good) if best == depth else min(as_good))
 
 
 def test_passages_of_one_id_with_different_texts(spark):

@@ -165,18 +165,19 @@ class Range:
         self.to_first, self.to_last = np.full(n, -1), np.full(n, -1)
         self.to_first[: self.first_end] = np.minimum.accumulate(np.r_[depth, like[1 : self.first_end]])
         self.to_last[self.last_start :] = np.minimum.accumulate(np.r_[like[self.last_start + 1 :], depth][::-1])[::-1]
-        #: Suffixes for which another range may hold a better lead.
-        self.open = np.maximum(self.to_first, self.to_last) > self.agree
+        #: Suffixes for which another range may hold a better lead, or a smaller one that is as good.
+        near = np.maximum(self.to_first, self.to_last)
+        self.open = (near >= np.maximum(self.agree, 0)) & (self.agree < depth)
 
     def least(self, near: np.ndarray) -> np.ndarray:
-        """For each number of words the least suffix that agrees with an edge in as many."""
+        """For each number of words the least suffix that agrees with an edge in as many; for all words, the suffix at the edge."""
         out = np.full((self.depth + 1, 3), NONE)
         at = np.flatnonzero(near >= 0)
         at = at[np.argsort(self.rank[at])]
         for d in range(self.depth + 1):
             here = np.flatnonzero(near[at] >= d)
             if len(here):
-                out[d] = self.own[at[here[0]]]
+                out[d] = self.own[at[here[-1 if d == self.depth else 0]]]
         return out
 
     def edges(self) -> Iterator[tuple[int, bytes]]:
@@ -194,7 +195,7 @@ def _packed(first: np.ndarray, last: np.ndarray, to_first: np.ndarray, to_last:
 
 
 def stitched(summaries: list[bytes]) -> Iterator[bytes]:
-    """For the ranges of one key, in order, the least suffixes before and after them that agree with their edge in so many words."""
+    """For the ranges of one key, in order, the least suffixes before and after them that agree with their edge in so many words; in all words, the nearest before."""
     rows = [np.frombuffer(s, np.int64) for s in summaries]
     depth = (len(rows[0]) - 6) // 8
     first, last = [r[:depth] for r in rows], [r[depth : 2 * depth] for r in rows]
@@ -211,7 +212,7 @@ def stitched(summaries: list[bytes]) -> Iterator[bytes]:
             through, met = agree(near[k], far[k]), agree(far[k], near[j])
             new = np.full((depth + 1, 3), NONE)
             for d in range(met + 1):
-                new[d] = min(tuple(to_far[k][d]), tuple(known[d]) if d <= through else (NONE,) * 3)
+                new[d] = to_far[k][d] if d == depth else min(tuple(to_far[k][d]), tuple(known[d]) if d <= through else (NONE,) * 3)
             known = new
         return out
 
@@ -222,7 +223,7 @@ def stitched(summaries: list[bytes]) -> Iterator[bytes]:
 
 
 def leads(table: DataFrame, side: str, depth: int, block: int) -> DataFrame:
-    """``id``, ``body``, ``pos``, ``lead``, ``lead_body``, ``at``: for each suffix one of a smaller document, body or position that agrees with it in the key and in as many words of the ``side`` as any such."""
+    """``id``, ``body``, ``pos``, ``lead``, ``lead_body``, ``at``: for each suffix the least (by document, body and position) of those before it that agree with it in the key and in as many words of the ``side`` as any such, or the one right before it where that agrees in all; whatever the bounds of the ranges."""
     numbers = [c for c in table.columns if c[0] == side and c[1:].isdigit()]
     order = ["key", *numbers, "id", "body", "pos"]
     names = ["id", "body", "pos", "lead", "lead_body", "at", "agree", "unit", "key", "to_first", "to_last", "summary"]
@@ -284,9 +285,9 @@ def leads(table: DataFrame, side: str, depth: int, block: int) -> DataFrame:
             known = np.frombuffer(other, np.int64).reshape(2, -1, 3)
             best = (agree, None if lead is None else (lead, lead_body, at))
             for least, reach in zip(known.tolist(), (to_first, to_last), strict=True):
-                for d in range(reach, best[0], -1):
-                    if tuple(least[d]) < (i, body, pos):
-                        best = d, tuple(least[d])
+                for d in range(reach, max(best[0], 0) - 1, -1):
+                    if (met := tuple(least[d])) < (i, body, pos):
+                        best = min(best, (d, met), key=lambda b: (-b[0], b[1] or ()))
                         break
             if best[1]:
                 yield i, body, pos, *best[1]
