@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import nfkc, words
+from .functions.text import counted, nfkc
 from .tables import numbered, written
 
 #: Keys that the corpus keeps itself.
@@ -41,6 +41,8 @@ class Corpus:
     info: DataFrame | None = None
     #: Dimensions of rows and cols, if they are stored or not those of the postings at hand.
     dims: tuple[DataFrame, DataFrame] | None = None
+    #: The rows are those that have postings, and follow from them.
+    implied: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -50,38 +52,45 @@ class Corpus:
     def from_counts(counts: DataFrame, rows: DataFrame | None = None) -> Corpus:
         """Sums up ``(row, col, tf)``; pairs may repeat. Rows without elements come from ``rows(row)``."""
         postings = counts.where("row is not null and col is not null").groupBy("row", "col").agg(F.sum("tf").cast("long").alias("tf")).where("tf > 0")
-        named = (postings.select("row").distinct() if rows is None else rows.select("row").distinct()).select("row", F.col("row").cast("string").alias("name"), F.create_map().cast("map<string,string>").alias("props"))
-        return Corpus(postings, named)
+        return Corpus(postings, _named((postings if rows is None else rows).select("row").distinct()), implied=rows is None)
 
     @staticmethod
     def from_text(docs: DataFrame, id_col: str, text_col: str, props: tuple[str, ...] = (), first_by: str | None = None, normalise: bool = False) -> Corpus:
         """Tokens of the text as cols; the text is segment 0.
 
         Where ids repeat, the row with the least value of ``first_by`` (then of the text) wins; without it their words are added up. ``normalise``
-        brings texts to Unicode's compatibility composition first, as record lines are.
+        brings texts to Unicode's compatibility composition first, as record lines are. Words are counted within their text; only those of ids that repeat are shuffled.
         """
         if first_by is not None:
             docs = _first_rows(docs, id_col, [first_by, text_col])
         if normalise:
             docs = docs.withColumn(text_col, nfkc(F.col(text_col)))
-        tokens = docs.select(F.col(id_col).alias("row"), F.explode(words(F.col(text_col))).alias("col"))
-        postings = tokens.groupBy("row", "col").agg(F.count("*").alias("tf"))
+        once, again = (docs, None) if first_by is not None else _by_repetition(docs, id_col)
+        postings = counted(once.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), F.col("text"), "row")
+        if again is not None:
+            each = counted(again.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), F.col("text"), "row")
+            postings = postings.unionByName(each.groupBy("row", "col").agg(F.sum("tf").alias("tf")))
         pairs = [x for p in props for x in (F.lit(p), F.col(p).cast("string"))]
         rows = docs.select(F.col(id_col).alias("row"), F.col(id_col).cast("string").alias("name"), F.create_map(*pairs).cast("map<string,string>").alias("props"))
         return Corpus(postings, rows, docs.select(F.col(id_col).alias("row"), F.lit(0).alias("segid"), F.col(text_col).alias("text")))
 
     def stored(self) -> Corpus:
         """The same corpus with its postings and dimensions written to the shared folder: what made them isn't done again."""
-        own = replace(self, postings=written(self.postings, "postings"))
-        return replace(own, dims=(written(own.row_dims, "rows"), written(own.col_dims, "cols")))
+        own = replace(self, postings=written(self.postings, "postings"), dims=None)
+        rows, cols = self.dims or (own._row_sums if self.implied else own.row_dims, own.col_dims)
+        rows, cols = written(rows, "rows"), written(cols, "cols")
+        return replace(own, rows=_named(rows.select(F.col("id").alias("row"))) if self.implied else self.rows, dims=(rows, cols))
+
+    @property
+    def _row_sums(self) -> DataFrame:
+        return self.postings.groupBy(F.col("row").alias("id")).agg(F.count("*").alias("df"), F.sum("tf").alias("tf_sum"))
 
     @cached_property
     def row_dims(self) -> DataFrame:
         """``id``, ``df`` (elements), ``tf_sum`` of every row, with 0 for rows without elements."""
         if self.dims:
             return self.dims[0]
-        sums = self.postings.groupBy("row").agg(F.count("*").alias("df"), F.sum("tf").alias("tf_sum"))
-        return self.rows.select(F.col("row").alias("id")).join(sums.withColumnRenamed("row", "id"), "id", "left").na.fill(0, ["df", "tf_sum"])
+        return self.rows.select(F.col("row").alias("id")).join(self._row_sums, "id", "left").na.fill(0, ["df", "tf_sum"])
 
     @cached_property
     def col_dims(self) -> DataFrame:
@@ -111,13 +120,13 @@ class Corpus:
             postings = postings.join(include.select("row").distinct(), "row", "left_semi")
         if exclude is not None:
             postings = postings.join(exclude.select("row").distinct(), "row", "left_anti")
-        return replace(self, postings=postings, dims=(self.row_dims, self.col_dims))
+        return replace(self, postings=postings, dims=(self.row_dims, self.col_dims), implied=False)
 
     def deleted(self, names: DataFrame) -> Corpus:
         """Without the rows of these ``name``s; unknown names do nothing."""
         gone = self.rows.join(names.select("name").distinct(), "name", "left_semi").select("row")
         without = lambda df: df.join(gone, "row", "left_anti") if df is not None else None
-        return replace(self, postings=without(self.postings), rows=without(self.rows), segments=without(self.segments), dims=None)
+        return replace(self, postings=without(self.postings), rows=without(self.rows), segments=without(self.segments), dims=None, implied=False)
 
     def appended(self, other: Corpus) -> Corpus:
         """With the rows of another corpus whose names are new; the first holder of a name wins.
@@ -139,7 +148,7 @@ class Corpus:
             return df if df is None else df.withColumnRenamed("row", "__old").join(ids, "__old").select(*df.columns)
 
         segments = keep(other.segments) if self.segments is None else self.segments if other.segments is None else self.segments.unionByName(keep(other.segments))
-        return replace(self, postings=self.postings.unionByName(keep(other.postings)), rows=self.rows.unionByName(new.select(*self.rows.columns)), segments=segments, dims=None)
+        return replace(self, postings=self.postings.unionByName(keep(other.postings)), rows=self.rows.unionByName(new.select(*self.rows.columns)), segments=segments, dims=None, implied=False)
 
     def vector(self, of: str, ids: DataFrame) -> DataFrame:
         """Elements of the rows (or cols) with an ``id`` in the table."""
@@ -164,11 +173,25 @@ class Corpus:
         return Corpus(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/rows"), optional("segments"), optional("info"), (spark.read.parquet(f"{path}/row_dims"), spark.read.parquet(f"{path}/col_dims")))
 
 
-def _first_rows(docs: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """One row of each id. Only ids that repeat have their rows gathered, one at a time in an aggregate."""
+def _named(rows: DataFrame) -> DataFrame:
+    """Rows that have no name but their id, and no properties."""
+    return rows.select("row", F.col("row").cast("string").alias("name"), F.create_map().cast("map<string,string>").alias("props"))
+
+
+def _by_repetition(docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose id is theirs alone, and those with ids that repeat, or None."""
     many = written(docs.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id"), "repeated-ids")
+    if many.isEmpty():
+        return docs, None
     same = F.col(id_col).eqNullSafe(F.col("__id"))
-    once, again = docs.join(many, same, "left_anti"), docs.join(many, same, "left_semi")
+    return docs.join(many, same, "left_anti"), docs.join(many, same, "left_semi")
+
+
+def _first_rows(docs: DataFrame, id_col: str, order: list[str]) -> DataFrame:
+    """One row of each id. Only ids that repeat have their rows gathered, one at a time in an aggregate."""
+    once, again = _by_repetition(docs, id_col)
+    if again is None:
+        return once
     least = again.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("__row"))
     return once.unionByName(least.select("__row.*"))
 

@@ -49,13 +49,13 @@ def corpus(spark: SparkSession, d: str, name: str, where: str = "true") -> Corpu
         found = Corpus.from_text(table(spark, d, name), "conv_id", "text")
         return Corpus(found.postings, found.rows.dropDuplicates(["row"])).stored()
     if name == "events":
-        counts = table(spark, d, name).groupBy(F.col("user_id").alias("row"), F.col("event_type").alias("col"))
+        pairs = table(spark, d, name).select(F.col("user_id").alias("row"), F.col("event_type").alias("col"))
     elif name == "orders":
-        counts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"))
+        pairs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"))
     else:
         both = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-        counts = both.groupBy(F.col("o_custkey").alias("row"), F.col("l_partkey").alias("col"))
-    return Corpus.from_counts(counts.agg(F.count("*").alias("tf"))).stored()
+        pairs = both.select(F.col("o_custkey").alias("row"), F.col("l_partkey").alias("col"))
+    return Corpus.from_counts(pairs.withColumn("tf", F.lit(1).cast("long"))).stored()
 
 
 def listed(spark: SparkSession, values: list, tf_q: dict | None = None, weight: dict | None = None, cutoff: int | None = None) -> DataFrame:
