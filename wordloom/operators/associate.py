@@ -24,6 +24,8 @@ from ..tables import written
 #: Defaults of a request: words of a summary, items summarised for topics, and the three similarities.
 SUMMARY_WORDS, TOPIC_ITEMS = 70, 10
 STAGES = ("WT_SMARTAW", "WT_SMARTWA", "WT_SMARTAW")
+#: A number of entities that any machine holds.
+FREQUENT = 200_000
 
 
 def default_cutoff(n: int) -> int:
@@ -124,8 +126,9 @@ def scored(corpus: Corpus, result: str, similarity: str | Similarity, inputs: Da
         everyone = everyone.unionByName(p.select(*columns))
     square = F.col("tf_q") * (F.col("idf") if kind.norm_of == "tf_idf" else F.lit(1.0))
     per_query = everyone.groupBy("query").agg(F.count("*").alias("nq"), F.sum("tf_q").alias("sum_tfq"), F.sqrt(F.sum(square * square)).alias("norm_q"))
-    # Joined to the inputs, which are few: above the postings ``query`` may be one value for all rows.
-    known = [p.join(per_query, "query") for p in known]
+    # Joined to the inputs, which are few: above the postings ``query`` may be one value for all rows. Written, as Spark then knows
+    # their size before it plans: where they are few they go to the postings, which aren't shuffled.
+    known = [written(p.join(per_query, "query"), "inputs") for p in known]
     columns += ["nq", "sum_tfq", "norm_q"]
     hits, k = None, 0
     if inputs is not None:
@@ -156,11 +159,10 @@ def scored(corpus: Corpus, result: str, similarity: str | Similarity, inputs: Da
     if filters.predicate is not None:
         found = found.where(filters.predicate)
     if kind.norm_of:
-        weight = F.col("tf").cast("double")
-        vectors_d = elements.join(found.select("id").distinct(), "id", "left_semi")
+        weight, vectors_d = F.col("tf").cast("double"), elements
         if kind.norm_of == "tf_idf":
-            vectors_d = vectors_d.join(query_dims.select(F.col("id").alias("t"), F.col("df").alias("df_t")), "t")
-            weight = weight * idf
+            weight, vectors_d = weight * idf, _with_frequency(elements, query_dims, s["total_df"])
+        # Of all entities: summed up where they lie, they make a row each, and the postings needn't be shuffled to meet the candidates.
         found = found.join(vectors_d.groupBy("id").agg(F.sqrt(F.sum(weight * weight)).alias("norm_d")), "id")
     score = F.col("ws")
     if kind.norm is not None:
@@ -171,6 +173,18 @@ def scored(corpus: Corpus, result: str, similarity: str | Similarity, inputs: Da
     return found.select("query", "id", score.alias("score"), "tf_d", "df_d", "df", "tf_sum")
 
 
+def _with_frequency(elements: DataFrame, query_dims: DataFrame, total_df: int) -> DataFrame:
+    """Elements with ``df_t``, the document frequency of their entity.
+
+    That of frequent entities goes to the postings: at most :data:`FREQUENT` ones can hold that share of all postings each. Only the
+    postings of the others are shuffled.
+    """
+    known = query_dims.select(F.col("id").alias("t"), F.col("df").alias("df_t"))
+    often = F.col("df_t") >= F.lit(total_df / FREQUENT)
+    marked = elements.join(F.broadcast(known.where(often)), "t", "left")
+    return marked.where("df_t is not null").unionByName(marked.where("df_t is null").drop("df_t").join(known.where(~often), "t").select(*marked.columns))
+
+
 def _present(found: DataFrame, elements: DataFrame, having: Presence) -> DataFrame:
     """Candidates for which the filter holds. Its entities are looked up among the candidates alone, so they add none."""
     names = sorted(having.names, key=str)
@@ -191,7 +205,8 @@ def best(found: DataFrame, k: int, offset: int = 0) -> DataFrame:
 
 def associate(corpus: Corpus, result: str, similarity: str | Similarity, k: int, inputs: DataFrame | None = None, vectors: DataFrame | None = None, filters: Filters = Filters(), offset: int = 0) -> DataFrame:
     """Best candidates: ``query``, ``id``, ``score``, ``tf_d``, ``df_d``, ``df``, ``tf_sum``, ``rank``, ``total``. Queries without candidates have no rows."""
-    return best(scored(corpus, result, similarity, inputs, vectors, filters), k, offset)
+    found = written(scored(corpus, result, similarity, inputs, vectors, filters), "scored")  # as the best and their total both read it
+    return best(found, k, offset)
 
 
 def summary(corpus: Corpus, inputs: DataFrame | None = None, vectors: DataFrame | None = None, k: int = SUMMARY_WORDS, similarity: str | Similarity = STAGES[0], cutoff: int | None = None) -> DataFrame:
@@ -274,7 +289,7 @@ class Request:
 
 def two_hop(directory: Corpus, inputs: DataFrame, corpus: Corpus, k: int, hits: int = 200) -> DataFrame:
     """Search a directory, and take the names of what it finds, as often as they occur, as the vector of a search in a second corpus."""
-    found = similar(directory, written(summary(directory, inputs), "summary"), hits)
+    found = written(similar(directory, written(summary(directory, inputs), "summary"), hits), "found")
     named = found.join(directory.rows.select(F.col("row").alias("id"), "name"), "id")
     vector = named.groupBy("query", F.col("name").alias("id")).agg(F.count("*").alias("tf_q"))
     return associate(corpus, "rows", "WT_DOT_PRODUCT", k, entities(written(vector, "vector")))

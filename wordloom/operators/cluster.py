@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import Similarity
 from ..model import Corpus
+from ..tables import written
 from .associate import associate, entities
 
 FEATURES, LABEL_WORDS = 256, 128
@@ -112,6 +113,7 @@ def clusters(corpus: Corpus, items: DataFrame, k: int, method: str = "hbc", simi
         out = [(rows["query"].iloc[0], c, p, x) for c, g in enumerate(named) for p, x in enumerate(g)]
         return pd.DataFrame(out, columns=["query", "cluster", "place", "id"])
 
+    items = written(items, "items")  # a few, read twice
     shown = items.select("query", F.col("id").alias("item"), "rank", F.col("score").alias("weight"))
     rows = shown.join(features(corpus, items, similarity).select("query", "item", "t", "tf"), ["query", "item"], "left")
     return rows.groupBy("query").applyInPandas(run, schema)

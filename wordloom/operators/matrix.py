@@ -9,17 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Corpus
+from ..tables import written
 
 
 def row_vectors(corpus: Corpus, ids: DataFrame) -> DataFrame:
     """``id``, ``t``, ``tf``, ``n`` (elements), ``total`` of the listed rows."""
-    own = corpus.postings.select(F.col("row").alias("id"), F.col("col").alias("t"), "tf").join(ids.select("id").distinct(), "id", "left_semi")
-    return own.join(own.groupBy("id").agg(F.count("*").alias("n"), F.sum("tf").alias("total")), "id")
+    return _vectors(corpus.postings.select(F.col("row").alias("id"), F.col("col").alias("t"), "tf"), ids)
 
 
 def col_vectors(corpus: Corpus, ids: DataFrame) -> DataFrame:
     """The listed cols by their rows."""
-    own = corpus.postings.select(F.col("col").alias("id"), F.col("row").alias("t"), "tf").join(ids.select("id").distinct(), "id", "left_semi")
+    return _vectors(corpus.postings.select(F.col("col").alias("id"), F.col("row").alias("t"), "tf"), ids)
+
+
+def _vectors(elements: DataFrame, ids: DataFrame) -> DataFrame:
+    """Both are written: of a short list Spark then knows that it is short, and the postings are read once."""
+    own = written(elements.join(written(ids.select("id").distinct(), "listed"), "id", "left_semi"), "vectors")
     return own.join(own.groupBy("id").agg(F.count("*").alias("n"), F.sum("tf").alias("total")), "id")
 
 
