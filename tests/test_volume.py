@@ -61,3 +61,48 @@ def test_frequencies_of_frequent_and_rare_words(spark, monkeypatch):
         monkeypatch.setattr(A, "FREQUENT", n)
         found.append([(r.id, round(r.score, 9)) for r in A.associate(c, "rows", "WT_COSINE_TFIDF", 30, inputs).orderBy("rank").collect()])
     assert len(found[0]) == 30 and found[0] == found[1] == found[2]
+
+
+def test_a_file_is_parsed_in_pieces(spark, tmp_path, monkeypatch):
+    import gzip
+
+    from wordloom.sources import formats
+
+    (tmp_path / "t").mkdir()
+    text = "i\tb1\n" + "".join(f"{k}\t{'word ' * 30_000 if k == 7 else f'x{k}'}\n" for k in range(50))
+    (tmp_path / "t" / "one.csv.gz").write_bytes(gzip.compress(text.encode("utf-16")))
+    monkeypatch.setattr(formats, "PIECE", 10)
+    assert [len(p) for p in formats._pieces(iter(["12345", "12345", "1"]))] == [2, 1]
+    c = formats.corpus_from_lines(formats.tsv_lines(spark, f"{tmp_path}/t"))
+    got = {r.name: (r.col, r.tf) for r in c.postings.join(c.rows, "row").collect()}
+    assert got == {str(k): ("word", 30_000) if k == 7 else (f"x{k}", 1) for k in range(50)}
+
+
+def test_large_files_are_cut_and_give_the_same_corpus(spark, monkeypatch):
+    from wordloom.sources import formats
+
+    lines = [("f", 0, "@title=x")] + [(f, k * 4 + j, t) for f in ("f", "g") for k in range(1, 60) for j, t in enumerate([f"i{f if k % 5 else 'same'}{k % 50}", "#title=t", f"b1a b{k} a", f"{k} b{k}"])]
+    table = spark.createDataFrame(lines, "file string, line int, text string").repartition(5)
+
+    def content():
+        c = formats.corpus_from_lines(table)
+        return sorted(c.postings.collect()), sorted((r.row, r.name, r.props["title"]) for r in c.rows.collect()), c.info.collect()
+
+    whole = content()
+    monkeypatch.setattr(formats, "FILE_LINES", 10)
+    assert content() == whole
+    first = {}
+    for k, (f, at, t) in enumerate(lines):
+        if t[0] == "i":
+            first.setdefault(t[1:], (f, at))
+    assert [r[1] for r in whole[1]] == sorted(first, key=first.get)
+    assert ("same5" in first) and sum(p.tf for p in whole[0]) == sum(3 + (first[n][1] // 4) for n in first)
+
+
+def test_first_words_are_cut_from_each_line(spark):
+    from wordloom.sources import formats
+
+    lines = spark.createDataFrame([("f", 0, "ia"), ("f", 1, "b1" + "x y " * 5), ("f", 2, "b1" + "z " * 1000)], "file string, line int, text string")
+    found = formats.corpus_from_lines(lines, max_words=12).postings
+    assert {r.col: r.tf for r in found.collect()} == {"x": 5, "y": 5, "z": 2}
+    assert "slice(" in plan(found)

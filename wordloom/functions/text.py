@@ -65,17 +65,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), lambda w: w != "")
 
 
-def counted(texts: DataFrame, text: Column, *keep: str) -> DataFrame:
-    """The columns ``keep`` with ``col`` and ``tf``: each word of a text once, and how often it occurs there. Nothing is shuffled.
+def counted(texts: DataFrame, found: Column, *keep: str) -> DataFrame:
+    """The columns ``keep`` with ``col`` and ``tf``: of an array of words each word once, and how often it occurs there. Nothing is shuffled.
 
     Words are put in order, so that equal ones stand together, and cut where a new one begins. Both arrays are columns of their own; within the
     lambdas they would be made anew for each element.
     """
-    found = texts.select(*keep, F.sort_array(words(text)).alias("__words"))
+    out = texts.select(*keep, F.sort_array(found).alias("__words"))
     begins = F.filter(F.transform("__words", lambda w, i: F.when((i == 0) | (w != F.get("__words", i - 1)), i)), lambda i: i.isNotNull())
-    found = found.withColumn("__begins", begins)
+    out = out.withColumn("__begins", begins)
     pair = lambda a, k: F.struct(F.get("__words", a).alias("col"), (F.coalesce(F.get("__begins", k + 1), F.size("__words")) - a).cast("long").alias("tf"))
-    return found.select(*keep, F.inline(F.transform("__begins", pair)).alias("col", "tf"))
+    return out.select(*keep, F.inline(F.transform("__begins", pair)).alias("col", "tf"))
 
 
 @F.pandas_udf(StringType())

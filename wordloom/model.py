@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import counted, nfkc
+from .functions.text import counted, nfkc, words
 from .tables import numbered, written
 
 #: Keys that the corpus keeps itself.
@@ -66,9 +66,9 @@ class Corpus:
         if normalise:
             docs = docs.withColumn(text_col, nfkc(F.col(text_col)))
         once, again = (docs, None) if first_by is not None else _by_repetition(docs, id_col)
-        postings = counted(once.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), F.col("text"), "row")
+        postings = counted(once.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), words(F.col("text")), "row")
         if again is not None:
-            each = counted(again.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), F.col("text"), "row")
+            each = counted(again.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), words(F.col("text")), "row")
             postings = postings.unionByName(each.groupBy("row", "col").agg(F.sum("tf").alias("tf")))
         pairs = [x for p in props for x in (F.lit(p), F.col(p).cast("string"))]
         rows = docs.select(F.col(id_col).alias("row"), F.col(id_col).cast("string").alias("name"), F.create_map(*pairs).cast("map<string,string>").alias("props"))

@@ -534,7 +534,7 @@ def _(spark, d):
 def _(spark, d):
     path = shared_path(spark, "tables")
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("i"), F.col("lang").alias("#title"), F.coalesce("text", F.lit("")).alias("b1"))
-    docs.write.option("sep", "\t").option("header", True).option("escape", '"').option("compression", "gzip").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    docs.write.option("maxRecordsPerFile", 20_000).option("sep", "\t").option("header", True).option("escape", '"').option("compression", "gzip").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     found = formats.corpus_from_lines(formats.tsv_lines(spark, f"{path}/*.csv.gz"))
     return found.postings.join(found.rows, "row").select("name", "col", "tf")
 

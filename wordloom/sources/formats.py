@@ -1,7 +1,8 @@
 """Corpora from record lines, TSV and XML; vectors and results as text.
 
 All three formats become record lines, a table ``(file, line, text)``, which Spark's string functions and running totals
-turn into a corpus. Files of record lines are split among tasks like any text; a TSV or XML file is read by one task, many side by side.
+turn into a corpus. Files of record lines are split among tasks like any text; a TSV or XML file is read by one task, many side by side, and unpacked
+and parsed as a stream.
 """
 
 from __future__ import annotations
@@ -16,16 +17,18 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import nfkc, words
+from ..functions.text import counted, nfkc, words
 from ..model import RESERVED, Corpus
-from ..tables import numbered, running_total
+from ..tables import latest, numbered, running_total, written
 
 #: One record line of each kind; anything else is malformed.
 KINDS = r"^(?:@[^=]+=.*|\$[^=]+=.*|i.+|#[^=]+=.*|b1.*|[!+].*| .+|[1-9][0-9]* .+)?$"
+#: Files with more lines or characters are cut into ranges, others read by one task each.
+FILE_LINES, FILE_CHARS = 1_000_000, 1 << 27
 PROPERTY = r"[A-Za-z_][A-Za-z0-9_.:-]*"
 
 
@@ -39,22 +42,39 @@ def record_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: How compressed files begin.
-PACKED = {b"\x1f\x8b": gzip.decompress, b"BZh": bz2.decompress, b"\xfd7zXZ\x00": lzma.decompress}
+PACKED = {b"\x1f\x8b": gzip.open, b"BZh": bz2.open, b"\xfd7zXZ\x00": lzma.open}
+#: Characters of lines that are handed on at a time.
+PIECE = 1 << 22
 
 
-def unpacked(content: bytes) -> bytes:
-    """The content of a gzip, bzip2 or xz file; others as they are."""
-    return next((f(content) for head, f in PACKED.items() if content.startswith(head)), content)
+def unpacked(content: bytes) -> io.BufferedReader:
+    """The content of a gzip, bzip2 or xz file as a stream; others as they are."""
+    return io.BufferedReader(next((f(io.BytesIO(content)) for head, f in PACKED.items() if content.startswith(head)), io.BytesIO(content)))
+
+
+def _pieces(lines: Iterator[str]) -> Iterator[list[str]]:
+    piece, size = [], 0
+    for line in lines:
+        piece.append(line)
+        size += len(line)
+        if size >= PIECE:
+            yield piece
+            piece, size = [], 0
+    if piece:
+        yield piece
 
 
 def _converted(files: DataFrame, convert) -> DataFrame:
-    """Lines that ``convert`` (bytes to lines) makes of each whole file, compressed or not."""
+    """Lines that ``convert`` (a stream of bytes to lines) makes of each file, compressed or not. Of a file a task holds its bytes as they lie there, and a piece of its lines."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2**31 - 1)
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
-                lines = list(convert(unpacked(content)))
-                yield pd.DataFrame({"file": name, "line": range(len(lines)), "text": lines})
+                n = 0
+                for lines in _pieces(convert(unpacked(content))):
+                    yield pd.DataFrame({"file": name, "line": range(n, n + len(lines)), "text": lines})
+                    n += len(lines)
 
     return files.select("path", "content").mapInPandas(run, "file string, line int, text string")
 
@@ -62,10 +82,10 @@ def _converted(files: DataFrame, convert) -> DataFrame:
 def tsv_lines(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
     """Tables, in UTF-16 with a byte order mark or UTF-8: rows ``@key`` or ``$key`` first, then a header with one column ``i``, then records."""
 
-    def convert(content: bytes) -> Iterator[str]:
-        text = content.decode("utf-16" if content[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8-sig")
+    def convert(content: io.BufferedReader) -> Iterator[str]:
+        encoding = "utf-16" if content.peek(2)[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8-sig"
         header = None
-        for row in csv.reader(io.StringIO(text, newline=""), delimiter=separator):
+        for row in csv.reader(io.TextIOWrapper(content, encoding, newline=""), delimiter=separator):
             cells = [re.sub(r"[\r\n]+", " ", c.strip()) for c in row]
             if header is None:
                 if cells and cells[0][:1] in ("@", "$"):
@@ -91,10 +111,10 @@ def tsv_lines(spark: SparkSession, path: str, separator: str = "\t") -> DataFram
 def xml_lines(spark: SparkSession, path: str) -> DataFrame:
     """Feeds of entries: ``meta`` and ``opt`` (with ``type``), then ``entry`` with ``id``, ``title``, ``link`` and ``data`` of ``vector``s (``count``), ``snippet``s, ``attr``s (``type``) and ``fss``. Namespaces aren't looked at."""
 
-    def convert(content: bytes) -> Iterator[str]:
+    def convert(content: io.BufferedReader) -> Iterator[str]:
         local = lambda e: e.tag.rpartition("}")[2]
         flat = lambda e: re.sub(r"\s*[\r\n]+\s*", " ", "".join(e.itertext())).strip()
-        for _, element in ElementTree.iterparse(io.BytesIO(content)):
+        for _, element in ElementTree.iterparse(content):
             kind = local(element)
             if kind in ("meta", "opt"):
                 yield f"{'@' if kind == 'meta' else '$'}{element.get('type')}={flat(element)}"
@@ -129,33 +149,52 @@ def corpus_from_lines(lines: DataFrame, properties: tuple[str, ...] = ("title",
     for p in properties:
         if not re.fullmatch(PROPERTY, p):
             raise ValueError(f"not a property name: {p!r}")
-    bad = lines.where(~F.col("text").rlike(KINDS)).limit(1).collect()
+    wrong = F.when(~F.col("text").rlike(KINDS), F.col("text"))
+    files = written(lines.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size"), F.min(wrong).alias("wrong")), "files")
+    bad = files.where("wrong is not null").limit(1).collect()
     if bad:
-        raise ValueError(f"malformed line in {bad[0].file}: {bad[0].text[:80]!r}")
+        raise ValueError(f"malformed line in {bad[0].file}: {bad[0].wrong[:80]!r}")
+    large = files.where((F.col("n") > FILE_LINES) | (F.col("size") > FILE_CHARS)).select("file")
+    large = None if large.isEmpty() else written(large, "large-files")
     starts = F.col("text").rlike("^i")
-    counted = running_total(lines.where("text <> ''"), starts.cast("long"), ["line"], "record", ("file",))
-    info = counted.where("record = 0 and text rlike '^[@$]'").select("file", "line", F.regexp_extract("text", r"^[@$]([^=]+)=", 1).alias("key"), F.regexp_extract("text", r"^[^=]+=(.*)$", 1).alias("value"))
+    heads = written(lines.where(starts).select("file", "line", F.substring("text", 2, 1 << 30).alias("name")), "records")
+    first = heads.groupBy("name").agg(F.min(F.struct("file", "line")).alias("at")).select("name", "at.*")
+    ids = written(numbered(first, ["file", "line"], "row"), "ids")
+    # Where a record begins: its row, 0 for those whose name is taken.
+    marks = heads.select("file", "line").join(ids.select("file", "line", "row"), ["file", "line"], "left").select("file", "line", F.coalesce("row", F.lit(0)).alias("__mark"), F.lit(None).cast("string").alias("text"))
+    marks = written(marks, "marks")
+
+    def placed(kind: Column) -> DataFrame:
+        """Lines of a kind with the row of their record, null before the first."""
+        own = lines.where(~starts & kind).select("file", "line", F.lit(None).cast("long").alias("__mark"), "text")
+        return latest(own.unionByName(marks), "__mark", ["line"], "row", ("file",), large).where("__mark is null").drop("__mark")
+
+    info = placed(F.col("text").rlike("^[@$]")).where("row is null").select("file", "line", F.regexp_extract("text", r"^[@$]([^=]+)=", 1).alias("key"), F.regexp_extract("text", r"^[^=]+=(.*)$", 1).alias("value"))
     info = info.where(~F.col("key").isin(*RESERVED) & ~F.startswith("key", F.lit("stat."))).groupBy("key").agg(F.max_by("value", F.struct("file", "line")).alias("value"))
-    names = counted.where(starts).select("file", "record", F.substring("text", 2, 1 << 30).alias("name"))
-    first = names.groupBy("name").agg(F.min(F.struct("file", "record")).alias("at")).select("name", "at.*")
-    ids = numbered(first, ["file", "record"], "row")
-    own = counted.where(~starts & (F.col("record") > 0)).join(ids.select("file", "record", "row"), ["file", "record"])
     body = F.col("text").rlike("^#body=")
-    raw = own.where(body | F.col("text").rlike("^(?:b1| |[1-9])"))
+    raw = placed(body | F.col("text").rlike("^(?:b1| |[1-9])")).where("row > 0")
     text = F.when(body, F.substring("text", 7, 1 << 30)).when(F.startswith("text", F.lit("b1")), F.substring("text", 3, 1 << 30))
-    plain = raw.where(text.isNull()).select("row", "line", F.lit(0).alias("k"), F.regexp_extract("text", r"^[0-9]* (.*)$", 1).alias("col"), F.greatest(F.coalesce(F.try_to_number(F.regexp_extract("text", "^([0-9]+) ", 1), F.lit("9" * 18)).cast("long"), F.lit(1)), F.lit(1)).alias("tf"))
-    told = raw.where(text.isNotNull()).select("row", "line", F.posexplode(words(nfkc(text))).alias("k", "col")).withColumn("tf", F.lit(1).cast("long"))
-    elements = plain.unionByName(told)
-    if max_words is not None:
-        elements = elements.withColumn("n", F.row_number().over(Window.partitionBy("row").orderBy("line", "k"))).where(F.col("n") <= max_words)
-    postings = elements.groupBy("row", "col").agg(F.sum("tf").alias("tf"))
-    named = own.where(F.col("text").rlike("^#") & ~body).select("row", "line", F.regexp_extract("text", "^#([^=]+)=", 1).alias("key"), F.regexp_extract("text", "^[^=]+=(.*)$", 1).alias("value"))
+    word = F.when(text.isNull(), F.regexp_extract("text", r"^[0-9]* (.*)$", 1))
+    times = F.greatest(F.coalesce(F.try_to_number(F.regexp_extract("text", "^([0-9]+) ", 1), F.lit("9" * 18)).cast("long"), F.lit(1)), F.lit(1))
+    raw = raw.select("file", "row", "line", nfkc(text).alias("told"), word.alias("word"), F.when(text.isNull(), times).otherwise(F.lit(1)).alias("times"))
+    found = F.when(F.col("word").isNotNull(), F.array("word")).otherwise(words(F.col("told")))
+    if max_words is None:
+        elements = counted(raw, found, "file", "row", "times")
+    else:  # no line holds more of a record's first words
+        each = raw.select("file", "row", "line", "times", F.posexplode(F.slice(found, 1, max_words)).alias("k", "col")).withColumn("tf", F.lit(1))
+        elements = each.withColumn("n", F.row_number().over(Window.partitionBy("file", "row").orderBy("line", "k"))).where(F.col("n") <= max_words)
+    # Sorted by row and summed in that order: no table of all pairs in memory, and a join by row needs no other shuffle.
+    elements = elements.select("row", "col", (F.col("tf") * F.col("times")).alias("tf")).repartition("row")
+    same = Window.partitionBy("row", "col").orderBy("tf").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nth = F.row_number().over(Window.partitionBy("row", "col").orderBy("tf"))
+    postings = elements.select("row", "col", F.sum("tf").over(same).alias("tf"), nth.alias("__nth")).where("__nth = 1").drop("__nth")
+    named = placed(F.col("text").rlike("^#") & ~body).where("row > 0").select("row", "line", F.regexp_extract("text", "^#([^=]+)=", 1).alias("key"), F.regexp_extract("text", "^[^=]+=(.*)$", 1).alias("value"))
     joined = named.where(F.col("key").isin(*properties)).groupBy("row", "key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "").alias("value"))
     props = joined.where("value <> ''").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("props"))
     rows = ids.select("row", "name").join(props, "row", "left").withColumn("props", F.coalesce("props", F.create_map().cast("map<string,string>")))
-    cut = own.where(body | F.col("text").rlike("^[!+]"))
+    cut = placed(body | F.col("text").rlike("^[!+]")).where("row > 0")
     kept = F.when(F.startswith("text", F.lit("+")), F.substring("text", 2, 1 << 30)).otherwise(nfkc(F.when(body, F.substring("text", 7, 1 << 30)).otherwise(F.substring("text", 2, 1 << 30))))
-    segments = cut.select("row", (F.row_number().over(Window.partitionBy("row").orderBy("line")) - 1).alias("segid"), kept.alias("text"))
+    segments = cut.select("row", (F.row_number().over(Window.partitionBy("file", "row").orderBy("line")) - 1).alias("segid"), kept.alias("text"))
     return Corpus(postings, rows, segments, info)
 
 

@@ -51,6 +51,25 @@ def running_total(df: DataFrame, value: Column, order: list[str], name: str, by:
     return ranged.join(sums, same).withColumn(name, F.col("__before") + here).select(*df.columns, name)
 
 
+def latest(df: DataFrame, value: str, order: list[str], name: str, by: tuple[str, ...], large: DataFrame | None = None) -> DataFrame:
+    """The rows with the latest ``value`` that isn't null, their own included, within the groups ``by`` and in the order of some columns.
+
+    A group is read by one task, but those listed in ``large`` are cut into ranges as in :func:`running_total`.
+    """
+    so_far = lambda keys: F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if large is None:
+        return df.withColumn(name, so_far(by))
+    small = df.join(large, list(by), "left_anti").withColumn(name, so_far(by))
+    ranged = df.join(large, list(by), "left_semi").select(*df.columns).repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id())
+    ranged = written(ranged, "ranges")  # fixed, as two plans read it
+    ends = ranged.where(F.col(value).isNotNull()).groupBy(*by, "__part").agg(F.max_by(value, F.struct(*order)).alias("__end"))
+    ends = ranged.select(*by, "__part").distinct().join(ends, [*by, "__part"], "left")
+    before = F.last("__end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    ends = written(ends.select(*by, "__part", before.alias("__before")), "ends")
+    here = ranged.withColumn("__here", so_far((*by, "__part"))).join(ends, [*by, "__part"])
+    return small.unionByName(here.withColumn(name, F.coalesce("__here", "__before")).select(*df.columns, name))
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """The rows numbered from 1 in the order of some columns."""
     return running_total(df, F.lit(1).cast("long"), order, name)
