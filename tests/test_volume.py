@@ -106,3 +106,16 @@ def test_first_words_are_cut_from_each_line(spark):
     found = formats.corpus_from_lines(lines, max_words=12).postings
     assert {r.col: r.tf for r in found.collect()} == {"x": 5, "y": 5, "z": 2}
     assert "slice(" in plan(found)
+
+
+def test_names_are_quoted_as_json_does(spark):
+    import json
+
+    from wordloom.sources import formats
+
+    names = ["a", "ß9", "𝒳", 'say "x"', "back\\slash", "tab\t", "\x01", "a/b", " ", ""]
+    got = formats.vector_literal(spark.createDataFrame([(1, n, 2) for n in names], "query int, id string, tf long")).first().vector
+    assert sorted(json.loads(got)) == sorted([n, 2] for n in names)
+    found = formats._quoted(F.col("id"))
+    plain = F.to_json(F.array("id"))
+    assert spark.createDataFrame([(n,) for n in names], "id string").where(found != plain.substr(F.lit(2), F.length(plain) - 2)).count() == 0

@@ -220,9 +220,15 @@ def to_lines(corpus: Corpus) -> DataFrame:
     return out
 
 
+def _quoted(name: Column) -> Column:
+    """A JSON string. Letters and digits need no escapes, so that most names needn't go through a JSON writer each."""
+    written_out = F.to_json(F.array(name))
+    return F.when(name.isNull() | name.rlike(r"[^\p{L}\p{N}]"), written_out.substr(F.lit(2), F.length(written_out) - 2)).otherwise(F.concat(F.lit('"'), name, F.lit('"')))
+
+
 def vector_literal(found: DataFrame, value: str = "tf") -> DataFrame:
     """``query`` and ``vector``: ``[["name",n],...]`` by name."""
-    pairs = F.transform(F.sort_array(F.collect_list(F.struct(F.col("id").cast("string").alias("name"), F.col(value).cast("string").alias("n")))), lambda x: F.concat(F.lit("["), F.to_json(F.array(x["name"])).substr(F.lit(2), F.length(F.to_json(F.array(x["name"]))) - 2), F.lit(","), x["n"], F.lit("]")))
+    pairs = F.transform(F.sort_array(F.collect_list(F.struct(F.col("id").cast("string").alias("name"), F.col(value).cast("string").alias("n")))), lambda x: F.concat(F.lit("["), _quoted(x["name"]), F.lit(","), x["n"], F.lit("]")))
     return found.groupBy("query").agg(F.concat(F.lit("["), F.array_join(pairs, ","), F.lit("]")).alias("vector"))
 
 
