@@ -52,6 +52,34 @@ def test_few_inputs_go_to_the_postings(spark, small_broadcasts):
     assert "SortMergeJoin" not in plan(matrix.row_vectors(c, listed))
 
 
+def test_a_task_counts_a_bounded_number_of_pairs(spark, monkeypatch):
+    from wordloom import tables
+
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 200)
+    counts = spark.range(10_000).select((F.col("id") % 1999).alias("row"), (F.col("id") % 7).alias("col"), F.lit(1).cast("long").alias("tf"))
+    c = Corpus.from_counts(counts, about=10_000)
+    assert plan(c.postings).count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan(c.postings)
+    sizes = c.postings.groupBy(F.spark_partition_id()).agg(F.sum("tf").alias("n")).collect()
+    assert len(sizes) > 40 and max(r.n for r in sizes) < 600
+    assert sorted(c.postings.collect()) == sorted(Corpus.from_counts(counts).postings.collect())
+
+
+def test_few_ids_are_remapped_without_a_shuffle_of_names(spark, small_broadcasts, monkeypatch):
+    counts = spark.range(60_000).select((F.col("id") % 20_000).alias("row"), (F.col("id") % 30_011).alias("col"), F.lit(1).cast("long").alias("tf"))
+    source, target = Corpus.from_counts(counts).stored(), Corpus.from_counts(counts.where("row % 2 = 0 and col % 3 <> 0")).stored()
+    plans, write = [], A.written
+    monkeypatch.setattr(A, "written", lambda df, name: (plans.append(plan(df)), write(df, name))[1])
+    ids = spark.createDataFrame([(5,), (8,)], "id long")
+    pairs = {(k % 20_000, k % 30_011) for k in range(60_000)}
+    kept = {(r, c) for r, c in pairs if r % 2 == 0 and c % 3 != 0}
+    for of, k in (("rows", 0), ("cols", 1)):
+        got = A.remapped(source, ids, target, of)
+        known = {p[1 - k] for p in kept}
+        assert {(int(r.input), r.id) for r in got.collect()} == {(p[k], p[1 - k]) for p in pairs if p[k] in (5, 8) and p[1 - k] in known}
+        plans.append(plan(got))
+    assert len(plans) > 4 and not any("SortMergeJoin" in p or "hashpartitioning(row" in p for p in plans)
+
+
 def test_frequencies_of_frequent_and_rare_words(spark, monkeypatch):
     docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(1, 40) if k % j == 0) + " w1") for k in range(1, 80)], "id long, text string")
     c = Corpus.from_text(docs, "id", "text").stored()

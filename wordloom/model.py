@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import counted, nfkc, words
-from .tables import numbered, written
+from .tables import dealt, numbered, written
 
 #: Keys that the corpus keeps itself.
 RESERVED = ("name", "created", "stemmer", "servers", "properties", "number-of-articles")
@@ -49,9 +49,13 @@ class Corpus:
         return self.postings.sparkSession
 
     @staticmethod
-    def from_counts(counts: DataFrame, rows: DataFrame | None = None) -> Corpus:
-        """Sums up ``(row, col, tf)``; pairs may repeat. Rows without elements come from ``rows(row)``."""
-        postings = counts.where("row is not null and col is not null").groupBy("row", "col").agg(F.sum("tf").cast("long").alias("tf")).where("tf > 0")
+    def from_counts(counts: DataFrame, rows: DataFrame | None = None, about: int | None = None) -> Corpus:
+        """Sums up ``(row, col, tf)``; pairs may repeat. Rows without elements come from ``rows(row)``.
+
+        ``about``, a number of counts if it is known, says to how many tasks they are dealt, a row to one. Without it a task sums up what its part of the input holds.
+        """
+        known = counts.where("row is not null and col is not null")
+        postings = (known if about is None else dealt(known, about, "row")).groupBy("row", "col").agg(F.sum("tf").cast("long").alias("tf")).where("tf > 0")
         return Corpus(postings, _named((postings if rows is None else rows).select("row").distinct()), implied=rows is None)
 
     @staticmethod

@@ -61,14 +61,16 @@ def text_inputs(corpus: Corpus, texts: DataFrame) -> DataFrame:
 
 
 def remapped(source: Corpus, ids: DataFrame, target: Corpus, of: str = "rows") -> DataFrame:
-    """Vectors of another corpus's rows (or cols) as inputs for this one: elements are matched by name, unknown ones dropped."""
-    t, other = ("row", "col") if of == "rows" else ("col", "row")
-    found = source.postings.join(ids.select(F.col("id").alias(t), *[c for c in ids.columns if c != "id"]), t)
+    """Vectors of another corpus's rows (or cols) as inputs for this one: elements are matched by name, unknown ones dropped.
+
+    Ids and elements are written: of few ones Spark then knows that they are few, and shuffles neither the postings nor the names of both corpora.
+    """
+    t = "row" if of == "rows" else "col"
+    found = written(source.postings.join(written(ids, "asked").withColumnRenamed("id", t), t), "elements")
     if of == "rows":
         found = found.join(target.col_dims.select(F.col("id").alias("col")), "col", "left_semi")
         return found.select(F.col("query") if "query" in ids.columns else F.lit(0).alias("query"), F.col("row").cast("string").alias("input"), F.col("col").alias("id"), "tf")
-    names = source.rows.select(F.col("row"), "name").join(target.rows.select(F.col("row").alias("to"), "name"), "name")
-    found = found.join(names, "row")
+    found = written(found.join(source.rows.select("row", "name"), "row"), "named").join(target.rows.select(F.col("row").alias("to"), "name"), "name")
     return found.select(F.col("query") if "query" in ids.columns else F.lit(0).alias("query"), F.col("col").cast("string").alias("input"), F.col("to").alias("id"), "tf").groupBy("query", "input", "id").agg(F.sum("tf").alias("tf"))
 
 

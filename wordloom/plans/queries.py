@@ -19,7 +19,7 @@ from ..operators import associate as A
 from ..operators import cluster, matrix
 from ..operators.fulltext import Join, Pattern, Search, difference, intersection, union
 from ..sources import formats
-from ..tables import shared_path, written
+from ..tables import dealt, shared_path, written
 from . import sql
 from .sql import SHOWN, scored, terms, with_
 
@@ -48,14 +48,17 @@ def corpus(spark: SparkSession, d: str, name: str, where: str = "true") -> Corpu
     if name == "conversations":
         found = Corpus.from_text(table(spark, d, name), "conv_id", "text")
         return Corpus(found.postings, found.rows.dropDuplicates(["row"])).stored()
+    lines = table(spark, d, "events" if name == "events" else "lineitem")
+    about = lines.count()  # from the footers of its files
     if name == "events":
-        pairs = table(spark, d, name).select(F.col("user_id").alias("row"), F.col("event_type").alias("col"))
+        pairs = lines.select(F.col("user_id").alias("row"), F.col("event_type").alias("col"))
     elif name == "orders":
-        pairs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"))
+        pairs = lines.select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"))
     else:
-        both = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+        orders, lines = table(spark, d, "orders").select("o_orderkey", "o_custkey"), lines.select("l_orderkey", "l_partkey")
+        both = dealt(orders, about, "o_orderkey").join(dealt(lines, about, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
         pairs = both.select(F.col("o_custkey").alias("row"), F.col("l_partkey").alias("col"))
-    return Corpus.from_counts(pairs.withColumn("tf", F.lit(1).cast("long"))).stored()
+    return Corpus.from_counts(pairs.withColumn("tf", F.lit(1).cast("long")), about=about).stored()
 
 
 def listed(spark: SparkSession, values: list, tf_q: dict | None = None, weight: dict | None = None, cutoff: int | None = None) -> DataFrame:

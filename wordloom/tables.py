@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Of rows dealt out by :func:`dealt`, about so many go to a task.
+ROWS_A_TASK = 500_000
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``. Where that is unset, a temporary folder serves in local mode; on a cluster it is an error."""
     sc = spark.sparkContext
@@ -33,6 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The rows dealt out by some keys to as many tasks as about ``rows`` rows need. Their number is stated, so Spark doesn't merge them: a task's memory
+    doesn't grow with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)), *keys)
+
+
 def running_total(df: DataFrame, value: Column, order: list[str], name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """The rows with the total of ``value`` so far, their own included, within the groups ``by`` and in the order of some columns.
 
