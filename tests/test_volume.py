@@ -80,6 +80,16 @@ def test_few_ids_are_remapped_without_a_shuffle_of_names(spark, small_broadcasts
     assert len(plans) > 4 and not any("SortMergeJoin" in p or "hashpartitioning(row" in p for p in plans)
 
 
+def test_few_inputs_go_to_the_table_of_all_entities(spark, small_broadcasts, monkeypatch):
+    docs = spark.range(3000).select("id", F.concat_ws(" ", *[(F.col("id") * 8 + k).cast("string") for k in range(8)]).alias("text"))
+    c = Corpus.from_text(docs, "id", "text").stored()
+    plans, write = [], A.written
+    monkeypatch.setattr(A, "written", lambda df, name: (plans.append(plan(df)), write(df, name))[1])
+    inputs = A.entities(spark.createDataFrame([("5",), ("8",), ("13",)], "id string"))
+    assert sorted(r.id for r in A.scored(c, "rows", "WT_SMARTWA", inputs).collect()) == [0, 1]
+    assert plans and not any("hashpartitioning(t#" in p or "hashpartitioning(id#" in p for p in plans)
+
+
 def test_frequencies_of_frequent_and_rare_words(spark, monkeypatch):
     docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(1, 40) if k % j == 0) + " w1") for k in range(1, 80)], "id long, text string")
     c = Corpus.from_text(docs, "id", "text").stored()

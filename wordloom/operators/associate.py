@@ -110,6 +110,8 @@ def scored(corpus: Corpus, result: str, similarity: str | Similarity, inputs: Da
     n_result, n_query = (s["n_rows"], s["n_cols"]) if result == "rows" else (s["n_cols"], s["n_rows"])
     r, q = ("row", "col") if result == "rows" else ("col", "row")
     parts = []
+    # Written, so that Spark knows their size before it plans: where they are few, the table of all entities isn't shuffled to meet them.
+    inputs, vectors = (x if x is None else written(x, "given") for x in (inputs, vectors))
     if inputs is not None:
         dims = query_dims.select(F.col("id").alias("t"), F.col("df").alias("df_t"), F.col("tf_sum").alias("tf_t")).where("df_t > 0")
         parts.append(inputs.join(dims, "t"))
