@@ -90,6 +90,27 @@ def test_few_inputs_go_to_the_table_of_all_entities(spark, small_broadcasts, mon
     assert plans and not any("hashpartitioning(t#" in p or "hashpartitioning(id#" in p for p in plans)
 
 
+def test_few_candidates_go_to_the_table_of_all_entities(spark, small_broadcasts):
+    docs = spark.range(3000).select("id", F.concat_ws(" ", *[(F.col("id") * 8 + k).cast("string") for k in range(8)]).alias("text"))
+    c = Corpus.from_text(docs, "id", "text").stored()
+    found = A.scored(c, "cols", "WT_SMARTAW", A.entities(spark.createDataFrame([(5,), (8,)], "id long")))
+    assert "hashpartitioning(id#" not in plan(found) and "SortMergeJoin" not in plan(found)
+    assert sorted((int(r.id), r.tf_d, r.df) for r in found.collect()) == [(d * 8 + k, 1, 1) for d in (5, 8) for k in range(8)]
+
+
+@pytest.mark.parametrize("name", ["crossref_wa"])
+def test_a_query_of_few_results_shuffles_no_table_of_all_entities(spark, small_broadcasts, monkeypatch, tmp_path, name):
+    from wordloom.plans import queries
+
+    words = [F.concat(F.lit("w"), F.col("doc_id") * 8 + k) for k in range(8)]
+    texts = F.concat_ws(" ", *words, F.lit("de"), F.when(F.col("doc_id") % 3 == 0, "the the"), F.when(F.col("doc_id") % 50 == 3, "est and"))
+    spark.range(3000).withColumnRenamed("id", "doc_id").select("doc_id", texts.alias("text"), F.lit("x").alias("lang"), F.lit("y").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    plans, write = [], A.written
+    monkeypatch.setattr(A, "written", lambda df, name: (plans.append(plan(df)) if name == "scored" else None, write(df, name))[1])
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() > 0
+    assert len(plans) == 2 and not any("SortMergeJoin" in p or "hashpartitioning(id#" in p for p in plans)
+
+
 def test_frequencies_of_frequent_and_rare_words(spark, monkeypatch):
     docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(1, 40) if k % j == 0) + " w1") for k in range(1, 80)], "id long, text string")
     c = Corpus.from_text(docs, "id", "text").stored()

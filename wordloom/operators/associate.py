@@ -153,7 +153,8 @@ def scored(corpus: Corpus, result: str, similarity: str | Similarity, inputs: Da
         F.sum(kind.query * kind.element).alias("ws"), F.sum("tf").alias("tf_d"), F.count("*").alias("df_d"), F.max("cutoff").alias("most"), F.min("cutoff").alias("least"), F.count("cutoff").alias("limits"),
         *[F.first(c).alias(c) for c in ("nq", "sum_tfq", "norm_q")], *([F.first(c).alias(c) for c in ("df", "tf_sum")] if kind.needs_candidate else []),
     ]
-    found = hits.groupBy("query", "id").agg(*gathered).withColumns({name: F.lit(value) for name, value in constants.items()})
+    # Written for the same reason: a few candidates meet the table of all entities, or its vectors' lengths, where these lie.
+    found = written(hits.groupBy("query", "id").agg(*gathered), "gathered").withColumns({name: F.lit(value) for name, value in constants.items()})
     if filters.having is not None:
         found = _present(found, elements, filters.having)
     if not kind.needs_candidate:
