@@ -98,7 +98,7 @@ def test_few_candidates_go_to_the_table_of_all_entities(spark, small_broadcasts)
     assert sorted((int(r.id), r.tf_d, r.df) for r in found.collect()) == [(d * 8 + k, 1, 1) for d in (5, 8) for k in range(8)]
 
 
-@pytest.mark.parametrize("name", ["crossref_wa", "cluster_hbc", "offset_window"])
+@pytest.mark.parametrize("name", ["crossref_wa", "cluster_hbc", "offset_window", "stage12_associate"])
 def test_a_query_of_few_results_shuffles_no_table_of_all_entities(spark, small_broadcasts, monkeypatch, tmp_path, name):
     from wordloom.plans import queries
 
